@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing
+from weftline.llm import jaccard, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_mixing": mixing.op10_mixing}
+    return {"op9_jaccard_join": jaccard.op9_jaccard_join, "op10_mixing": mixing.op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op9_jaccard_join": jaccard.SQL, "op10_mixing": mixing.SQL}
