@@ -9,12 +9,13 @@ its rare tokens, plus those of each part beyond the first COMBINE - 1, outnumber
 missing. Sets of fewer than `SMALL` tokens use single tokens for either class; sets near that size
 use both kinds, so partners across it meet. A set too short to be extended enough does so too.
 
-Equal sets are folded into one class before anything is joined. Classes that share a signature are
-tied to the smallest one that has it (stars, not pairs), and the components of these ties are the
-candidate groups, whose sets are compared exactly: within a group, blocks of at most `BLOCK` sets
+Equal sets are folded into one class before anything is joined. Classes that share a signature, and
+whose sizes allow a link, are tied together without listing pairs (see `ties`); the components of
+the ties are the candidate groups, whose sets are compared exactly: blocks of about `BLOCK` sets
 against each other, skipping what is already linked and returning a spanning forest of the links.
 Frequencies are counted over all documents; a partition reports what at least `HEAVY_SHARE` of its
-documents have. The order affects the work only, never the result.
+documents have, and the `HEAVY_TABLE` most frequent tokens form the frequent class. Where that
+bound falls affects the work only, never the result.
 
 Nulls and texts without words have an empty set and link with nothing. Rows that share an id are
 each a row of the result. Extra columns are ignored. An empty table gives no rows.
@@ -27,14 +28,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import common, components, shingles
 
 U = np.uint64
 COMBINE, PARTS, SMALL, BLOCK = 2, 16, 200, 1024
-HEAVY_SHARE, HEAVY_LEAST, HEAVY_TABLE = 0.004, 8, 1 << 15
+HOT = 500
+HEAVY_SHARE, HEAVY_LEAST, HEAVY_TABLE = 0.0004, 3, 1 << 18
 
 
 def missing(n: int, num: int, den: int) -> int:
@@ -77,14 +79,15 @@ def heavy_tokens(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np
         keep = counts >= max(HEAVY_LEAST, HEAVY_SHARE * n)
         yield common.batch_of({"token": (tokens[keep].view(np.int64), pa.int64()), "n": (counts[keep], pa.int64())})
 
-    found = docs.select(F.col(text_col)).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY_TABLE).collect()
-    token = np.array([r["token"] for r in found], np.int64).view(np.uint64)
+    found = docs.select(F.col(text_col)).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY_TABLE).toArrow()
+    token, n = found.column("token").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
     order = np.argsort(token)
-    return token[order], np.array([r["n"] for r in found], np.int64)[order]
+    return token[order], n[order]
 
 
-def signatures(x: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
-    """The signatures of one sorted set, as distinct 64-bit hashes."""
+def signatures(x: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one sorted set, as distinct 64-bit hashes: (those that few sets can share,
+    those whose tokens all are in at least HOT sets)."""
     n = len(x)
     slack = missing(n, num, den)
     tokens, counts = heavy
@@ -94,28 +97,38 @@ def signatures(x: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], num: int, de
     often = often[np.lexsort((often, counts[at[frequent]]))] if len(often) else often
     ordered = np.concatenate((rare, often))
     singles = ordered[: slack + 1]
-    if n < SMALL * num // den:
-        return singles
-    need = slack + 1 - len(rare)
-    combined = [rare[: slack + 1]]
-    if need > 0:
-        parts: dict[int, list[int]] = {}
-        for token in often.tolist():
-            part = parts.setdefault((token >> 7) % PARTS, [])
-            part.append(token)
-            need -= len(part) >= COMBINE
-            if need <= 0:
-                break
-        pairs = np.array([p for part in parts.values() for p in combinations(sorted(part), COMBINE)], np.uint64).reshape(-1, COMBINE)
-        h = np.full(len(pairs), 0xC0FFEE, np.uint64)
-        for j in range(COMBINE):
-            h = common.mix64(h * U(0x9E3779B97F4A7C15) + pairs[:, j])
-        combined.append(h)
-        if need > 0:  # too short: with fewer partner signatures than needed, single tokens as well
-            combined.append(singles)
+    hot_token = {int(t) for t, c in zip(often, counts[at[frequent]][np.lexsort((x[frequent], counts[at[frequent]]))], strict=True) if c >= HOT} if len(often) else set()
+    cold, hot = [x[:0]], [x[:0]]
+
+    def put(singles: np.ndarray) -> None:
+        warm = np.array([int(t) in hot_token for t in singles], bool)
+        cold.append(singles[~warm])
+        hot.append(singles[warm])
+
     if n < -(-SMALL * den // num):
-        combined.append(singles)
-    return np.unique(np.concatenate(combined))
+        put(singles)
+    if n >= SMALL * num // den:
+        need = slack + 1 - len(rare)
+        cold.append(rare[: slack + 1])
+        if need > 0:
+            parts: dict[int, list[int]] = {}
+            for token in often.tolist():
+                part = parts.setdefault((token >> 7) % PARTS, [])
+                part.append(token)
+                need -= len(part) >= COMBINE
+                if need <= 0:
+                    break
+            combos = [p for part in parts.values() for p in combinations(sorted(part), COMBINE)]
+            h = np.full(len(combos), 0xC0FFEE, np.uint64)
+            tokens_of = np.array(combos, np.uint64).reshape(-1, COMBINE)
+            for j in range(COMBINE):
+                h = common.mix64(h * U(0x9E3779B97F4A7C15) + tokens_of[:, j])
+            warm = np.array([hot_token.issuperset(p) for p in combos], bool)
+            cold.append(h[~warm])
+            hot.append(h[warm])
+            if need > 0:  # too short to be extended enough: single tokens as well
+                put(singles)
+    return np.unique(np.concatenate(cold)), np.unique(np.concatenate(hot))
 
 
 def forest(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -200,19 +213,19 @@ def classes(docs: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_i
     def sign(part: pa.RecordBatch) -> pa.RecordBatch:
         values, at = shingles.shingle_sets(part.column(1), k)
         sets = [values[at[i] : at[i + 1]] for i in range(part.num_rows)]
-        signed = [signatures(x, heavy, num, den) if len(x) else x for x in sets]
-        cuts = np.concatenate(([0], np.cumsum([len(x) for x in signed])))
-        flat = np.concatenate(signed) if signed else np.zeros(0, np.uint64)
-        return common.batch_of({"doc_id": (part.column(0), None), "n_shingles": (np.diff(at), pa.int64()), "set_key": ([shingles.set_key(x) if len(x) else None for x in sets], pa.binary()), "sigs": (common.list_rows(flat.view(np.int64), cuts), None)})
-
-    signed = common.cut(common.map_rows(docs, sign, "doc_id long, n_shingles long, set_key binary, sigs array<long>"))
-    sets = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
-    sigs = sets.select("set_key", F.explode("sigs").alias("sig"))
-    hubs = sigs.groupBy("sig").agg(F.min("set_key").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ties = sigs.join(hubs, "sig").filter("set_key <> hub").select(F.col("set_key").alias("u"), F.col("hub").alias("v")).distinct()
-    groups = components.connected(ties)
-    members = sets.select("set_key", "rep").join(groups, F.col("set_key") == F.col("node")).select("set_key", "rep", F.col("component").alias("grp"))
-    members = common.cut(members)
+        keys = [shingles.set_key(x) if len(x) else None for x in sets]
+        signed = [signatures(x, heavy, num, den) if len(x) else (x, x) for x in sets]
+        lists = []
+        for side in (0, 1):
+            cuts = np.concatenate(([0], np.cumsum([len(x[side]) for x in signed])))
+            lists.append(common.list_rows(np.concatenate([x[side] for x in signed]).view(np.int64), cuts))
+        return common.batch_of({"doc_id": (part.column(0), None), "n_shingles": (np.diff(at), pa.int64()), "set_key": (keys, pa.binary()), "key": ([x and int.from_bytes(x[:8], "little", signed=True) for x in keys], pa.int64()), "cold": (lists[0], None), "hot": (lists[1], None)})
+
+    signed = common.cut(common.map_rows(docs, sign, "doc_id long, n_shingles long, set_key binary, key long, cold array<long>, hot array<long>"))
+    sets = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.first("cold").alias("cold"), F.first("hot").alias("hot"))
+    sets = common.cut(sets)
+    groups = components.connected(ties(sets, num, den))
+    members = common.cut(sets.select("set_key", "rep", "key").join(groups, F.col("key") == F.col("node")).select("set_key", "rep", F.col("component").alias("grp")))
     edges = verified(docs, members, k, num, den)
     linked = components.connected(edges)
     reps = sets.select("set_key", "rep")
@@ -222,6 +235,30 @@ def classes(docs: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_i
     return signed.select("doc_id", "n_shingles", "set_key").join(at, F.col("set_key") == F.col("k"), "left").select("doc_id", "n_shingles", "set_key", F.coalesce("component", "doc_id").alias("component"))
 
 
+def ties(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs that share a signature and whose sizes
+    allow a link, without the pairs. Keys are 64 bits of the set keys: should two coincide, their
+    candidate groups are one, and no more.
+
+    A signature that few sets share: its sets in order of size, each tied to the one before if the
+    sizes allow it (if a pair's sizes do, so do those of all neighbours between). A hot one: sizes
+    are cut into bands within which every pair may link; all sets of a band are tied to its
+    smallest key, and bands to the next one if their nearest sizes allow it. Only minima are
+    gathered there, and the join back can be split.
+    """
+    may = lambda small, large: F.col(small) * den >= F.col(large) * num
+    cold = sets.select("key", F.col("n").cast("int").alias("n"), F.explode("cold").alias("sig"))
+    by_size = Window.partitionBy("sig").orderBy("n", "key")
+    chained = cold.select("key", "n", F.lag("key").over(by_size).alias("before"), F.lag("n").over(by_size).alias("size")).filter("before is not null").filter(may("size", "n")).select(F.col("key").alias("u"), F.col("before").alias("v"))
+    band = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9).cast("int")
+    hot = sets.select("key", "n", F.explode("hot").alias("sig")).withColumn("band", band)
+    hubs = hot.groupBy("sig", "band").agg(F.min("key").alias("hub"), F.min("n").alias("low"), F.max("n").alias("high"))
+    by_band = Window.partitionBy("sig").orderBy("band")
+    steps = hubs.select("hub", "low", F.lag("hub").over(by_band).alias("before"), F.lag("high").over(by_band).alias("size")).filter("before is not null").filter(may("size", "low")).select(F.col("hub").alias("u"), F.col("before").alias("v"))
+    stars = hot.join(hubs, ["sig", "band"]).select(F.col("key").alias("u"), F.col("hub").alias("v"))
+    return chained.union(steps).union(stars)
+
+
 def verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The links (u, v) within candidate groups, a spanning forest of each pair of blocks."""
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
@@ -237,7 +274,7 @@ def verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) ->
         body = pa.array([values[at[i] : at[i + 1]].tobytes() for i in good], pa.binary())
         return pa.RecordBatch.from_arrays([*[out.column(i) for i in range(1, 5)], body], names=["set_key", "grp", "block", "blocks", "body"])
 
-    sets = common.map_rows(texts, resolve, "set_key binary, grp binary, block int, blocks int, body binary")
+    sets = common.map_rows(texts, resolve, "set_key binary, grp long, block int, blocks int, body binary")
     # every unordered pair of blocks, own ones included, is a task's group: (block, other) for each other
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "set_key", "body"
