@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -37,7 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    out = df.checkpoint()
+    # shuffle files go when the driver collects its garbage, which it may not do for long: see to it here
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def held_out(id_col: str):

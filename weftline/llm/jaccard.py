@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from weftline.llm import common, components, shingles
 
 U = np.uint64
-COMBINE, PARTS, SMALL, BLOCK = 2, 16, 200, 1024
+COMBINE, PARTS, SMALL, BLOCK = 2, 16, 200, 4096
+#: Up to so many members (of about 100 bytes) are sent to all tasks; beyond, texts are joined by a shuffle.
+SENT = 300_000
 HOT = 500
 HEAVY_SHARE, HEAVY_LEAST, HEAVY_TABLE = 0.0004, 3, 1 << 18
 
@@ -174,33 +176,50 @@ def forest(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[
         for j in np.flatnonzero(hit):
             join(hub, int(j))
         hubs += 1
+    # the rest: whatever is outside the largest component so far, against all, some rows at a time
+    roots = np.array([find(i) for i in range(m)])
+    largest = np.bincount(roots, minlength=m).argmax() if m else 0
+    todo = np.flatnonzero(roots != largest)
     keep = np.flatnonzero(shared)
     order = keep[np.argsort(flat_id[keep], kind="stable")]
     rows, cols = owner[order], flat_id[order]
-    start = np.flatnonzero(np.concatenate(([True], cols[1:] != cols[:-1]))) if len(cols) else np.zeros(0, np.int64)
-    span = np.diff(np.concatenate((start, [len(cols)])))
-    if float((span.astype(float) ** 2).sum()) * 8e-9 > m * float(m) * len(start) * 4e-11:  # dense: products of 0/1 blocks
-        inter = np.zeros((m, m), np.float32)
-        column = np.repeat(np.arange(len(start)), span)
-        for c in range(0, len(start), 2048):
-            lo, hi = np.searchsorted(column, (c, c + 2048))
-            block = np.zeros((m, 2048), np.float32)
-            block[rows[lo:hi], column[lo:hi] - c] = 1
-            inter += block @ block.T
-        inter = inter.astype(np.int64)
-    else:
-        inter = np.zeros(m * m, np.int64)
-        for size in np.unique(span):
-            which = start[span == size]
-            step = max(1, 4_000_000 // int(size * size))
-            for c in range(0, len(which), step):
-                r = rows[which[c : c + step, None] + np.arange(size)]
-                inter += np.bincount((r[:, :, None] * m + r[:, None, :]).ravel(), minlength=m * m)
-        inter = inter.reshape(m, m)
-    hit = links(inter, sizes[:, None], sizes[None, :], num, den)
-    for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
-        if not left or (i < left) != (j < left):
-            join(int(i), int(j))
+    start = np.searchsorted(cols, np.arange(len(token)))
+    span = np.searchsorted(cols, np.arange(len(token)), "right") - start
+    dense_id = np.cumsum(span > 0) - 1
+    width = int((span > 0).sum())
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for c in range(0, len(todo), 256):
+        chunk = todo[c : c + 256]
+        own = np.concatenate([flat_id[at[i] : at[i + 1]] for i in chunk])
+        line = np.repeat(np.arange(len(chunk)), sizes[chunk])
+        line, own = line[span[own] > 0], own[span[own] > 0]
+        total = int(span[own].sum())
+        if total * 1.5e-8 <= len(chunk) * float(m) * width * 4e-11 + m * float(width) * 1e-10:
+            inter = np.zeros(len(chunk) * m, np.int64)
+            ends = np.cumsum(span[own])
+            lo = 0
+            while lo < len(own):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, "right")))
+                n = span[own[lo:hi]]
+                pick = np.repeat(start[own[lo:hi]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                inter += np.bincount(np.repeat(line[lo:hi], n) * m + rows[pick], minlength=len(chunk) * m)
+                lo = hi
+            inter = inter.reshape(len(chunk), m)
+        else:  # much is shared: products of 0/1 blocks
+            inter = np.zeros((len(chunk), m), np.float32)
+            for d in range(0, width, 2048):
+                left_block, right_block = np.zeros((len(chunk), 2048), np.float32), np.zeros((m, 2048), np.float32)
+                mine = (dense_id[own] >= d) & (dense_id[own] < d + 2048)
+                left_block[line[mine], dense_id[own[mine]] - d] = 1
+                lo, hi = np.searchsorted(dense_id[cols], (d, d + 2048))
+                right_block[rows[lo:hi], dense_id[cols[lo:hi]] - d] = 1
+                inter += left_block @ right_block.T
+            inter = np.rint(inter).astype(np.int64)
+        hit = links(inter, sizes[chunk][:, None], sizes[None, :], num, den)
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            i, j = int(chunk[i]), int(j)
+            if i != j and (not left or (i < left) != (j < left)):
+                join(i, j)
     return edges
 
 
@@ -264,7 +283,8 @@ def verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) ->
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     # a group of up to BLOCK sets is one block; others are dealt into blocks by their key
     dealt = members.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("set_key"), F.col("blocks")))
-    texts = docs.join(dealt.select("set_key", "rep", "grp", "block", "blocks"), F.col("doc_id") == F.col("rep")).select("text", "set_key", "grp", "block", "blocks")
+    dealt = dealt.select("set_key", "rep", "grp", "block", "blocks")
+    texts = docs.join(F.broadcast(dealt) if members.count() <= SENT else dealt, F.col("doc_id") == F.col("rep")).select("text", "set_key", "grp", "block", "blocks")
 
     def resolve(part: pa.RecordBatch) -> pa.RecordBatch:
         values, at = shingles.shingle_sets(part.column(0), k)
