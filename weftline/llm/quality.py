@@ -8,8 +8,8 @@
    follows each pattern's posterior. That a labeller votes bad on at most `FALSE_ALARM` of the good
    documents is given. Without any vote the posterior is the prior.
 3. Scorer. A logistic regression on hashed byte trigrams (shares of `BUCKETS` buckets) is fitted to
-   the posteriors of a bounded sample of documents: those of the smallest hashes of their ids, at
-   most `PER_PATTERN` a vote pattern and `SAMPLE` in all. It then scores every whole text.
+   the posteriors of a bounded sample of documents, drawn by hash: about `PER_PATTERN` of each vote
+   pattern and at most `SAMPLE` in all. It then scores every whole text.
 
 A document is rejected if the scorer gives it less than `threshold`. Null and empty texts have no
 trigram: labellers abstain, the score is the posterior of that pattern, and they are kept only if
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import common
@@ -31,7 +31,7 @@ NEVER = (1.0, 0.0)
 #: Trigrams added to the count of a text, of no bucket: a short text says little.
 DAMP = 300
 #: A labeller votes bad on at most this share of good documents: what makes it usable as one.
-FALSE_ALARM = 0.001
+FALSE_ALARM = 0.0002
 
 # classes of bytes; the continuation bytes of UTF-8 count as nothing, its lead bytes as a letter
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _ODD, _BANG, _PIPE = range(1, 9)
@@ -194,8 +194,9 @@ def score_docs(docs: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id
     by_code = np.zeros(3 ** len(LABELLERS))
     by_code[codes] = posterior
     # a bounded training sample, spread over the patterns
-    order = Window.partitionBy("pattern").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = voted.distinct().withColumn("at", F.row_number().over(order)).filter(F.col("at") <= PER_PATTERN).orderBy("at", "pattern", "doc_id").limit(SAMPLE).select("doc_id", "pattern")
+    rates = F.element_at(F.array(*[F.lit(float(x)) for x in np.minimum(PER_PATTERN / np.maximum(counts, 1), 1.0)]), F.array_position(F.array(*[F.lit(int(c)) for c in codes]), F.col("pattern")).cast("int"))
+    draw = F.pmod(F.xxhash64("doc_id", "pattern"), F.lit(1 << 30))
+    chosen = voted.distinct().filter(draw < rates * (1 << 30)).orderBy(draw, "doc_id", "pattern").limit(SAMPLE)
 
     def gather(part: pa.RecordBatch) -> pa.RecordBatch:
         x = features(part.column(2)).astype(np.float16)
