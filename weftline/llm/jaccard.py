@@ -13,9 +13,10 @@ Equal sets are folded into one class before anything is joined. Classes that sha
 whose sizes allow a link, are tied together without listing pairs (see `ties`); the components of
 the ties are the candidate groups, whose sets are compared exactly: blocks of about `BLOCK` sets
 against each other, skipping what is already linked and returning a spanning forest of the links.
-Frequencies are counted over all documents; a partition reports what at least `HEAVY_SHARE` of its
-documents have, and the `HEAVY_TABLE` most frequent tokens form the frequent class. Where that
-bound falls affects the work only, never the result.
+Frequencies are counted over all documents (for a quarter of the tokens, by hash; these come first
+in the order); tokens of at least `FREQUENT_LEAST` documents form the frequent class, the most
+frequent `FREQUENT_TABLE` of them if there are more. Where that bound falls affects the work only,
+never the result.
 
 Nulls and texts without words have an empty set and link with nothing. Rows that share an id are
 each a row of the result. Extra columns are ignored. An empty table gives no rows.
@@ -38,7 +39,7 @@ COMBINE, PARTS, SMALL, BLOCK = 2, 16, 200, 4096
 #: Up to so many members (of about 100 bytes) are sent to all tasks; beyond, texts are joined by a shuffle.
 SENT = 300_000
 HOT = 500
-HEAVY_SHARE, HEAVY_LEAST, HEAVY_TABLE = 0.0004, 3, 1 << 18
+FREQUENT_LEAST, FREQUENT_TABLE, SHARD_DOCS, UNCOUNTED = 4, 1 << 20, 4000, 1 << 40
 
 
 def missing(n: int, num: int, den: int) -> int:
@@ -50,18 +51,63 @@ def links(inter: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -
     return (inter > 0) & (den * inter >= num * (a + b - inter))
 
 
-def heavy_tokens(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens (at most HEAVY_TABLE) with their counts, sorted by token."""
+class Frequent:
+    """The frequent class: the most frequent of the counted tokens, by a 48-bit id.
+
+    Only a quarter of all tokens, by hash, is counted; the others come after the counted ones in the
+    order, as if they were frequent, so that prefixes consist of counted rare tokens while there are
+    enough of them.
+    """
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(ids)
+        self.ids, self.counts = ids[order], counts[order]
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each token is in the class, its count; tokens that are not counted have none)."""
+        own = token_ids(x)
+        count = np.full(len(x), UNCOUNTED, np.int64)
+        count[counted(x)] = 0
+        if len(self.ids):
+            at = np.minimum(np.searchsorted(self.ids, own), len(self.ids) - 1)
+            known = counted(x) & (self.ids[at] == own)
+            count[known] = self.counts[at[known]]
+        return count > 0, count
+
+
+def counted(x: np.ndarray) -> np.ndarray:
+    return (x >> U(3)) & U(3) == 0
+
+
+def token_ids(x: np.ndarray) -> np.ndarray:
+    return x >> U(16)
+
+
+def frequent_tokens(docs: DataFrame, text_col: str, k: int) -> Frequent:
+    """Counts of the counted tokens over all documents, the FREQUENT_TABLE greatest of at least
+    FREQUENT_LEAST.
+
+    A task folds equal tokens before it passes them on in arrays, one for each of `shards` ranges of
+    ids, so that a token that is everywhere arrives once for each fold and not once a document.
+    """
+    shards = 1 << max(6, (docs.count() // SHARD_DOCS).bit_length())
 
     def run(batches):
-        seen, tokens, counts, n = set(), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         held: list[np.ndarray] = []
-
-        def fold(tokens, counts, held):
-            t, inverse = np.unique(np.concatenate([tokens, *held]), return_inverse=True)
-            c = np.bincount(inverse, np.concatenate([counts, np.ones(sum(map(len, held)))])).astype(np.int64)
-            often = c > 1  # what is met once in so many texts can't become frequent by much
-            return t[often], c[often]
+        seen: set[bytes] = set()
+
+        def fold():
+            t, n = np.unique(np.concatenate(held), return_counts=True)
+            shard = (t & U(shards - 1)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            t, n, shard = t[order], n[order], shard[order]
+            at = np.searchsorted(shard, np.arange(shards + 1))
+            full = np.flatnonzero(at[1:] > at[:-1])
+            pack = lambda x, j: x[at[j] : at[j + 1]].tobytes()
+            high = (t >> U(16)).astype(np.uint32)  # the low 16 bits follow, and of them the shard is known
+            low = (t & U(0xFFFF)).astype(np.uint16)
+            few = np.minimum(n, 255).astype(np.uint8)
+            return common.batch_of({"shard": (full, pa.int32()), "high": ([pack(high, j) for j in full], pa.binary()), "low": ([pack(low, j) for j in full], pa.binary()), "n": ([pack(few, j) for j in full], pa.binary())})
 
         for batch in batches:
             for part in common.slices(batch, text_col):
@@ -70,36 +116,39 @@ def heavy_tokens(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np
                     x = values[at[i] : at[i + 1]]
                     key = shingles.set_key(x)[:8]
                     if len(x) and key not in seen:
-                        n += 1
-                        held.append(x)
                         if len(seen) < 200_000:
                             seen.add(key)
-                if sum(map(len, held)) > 1_000_000:
-                    tokens, counts = fold(tokens, counts, held)
-                    held = []
-        tokens, counts = fold(tokens, counts, held)
-        keep = counts >= max(HEAVY_LEAST, HEAVY_SHARE * n)
-        yield common.batch_of({"token": (tokens[keep].view(np.int64), pa.int64()), "n": (counts[keep], pa.int64())})
-
-    found = docs.select(F.col(text_col)).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY_TABLE).toArrow()
-    token, n = found.column("token").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(token)
-    return token[order], n[order]
-
-
-def signatures(x: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+                        held.append(token_ids(x[counted(x)]))
+                if sum(map(len, held)) > 2_000_000:
+                    yield fold()
+                    held.clear()
+        if held:
+            yield fold()
+
+    def total(table: pa.Table) -> pa.Table:
+        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        t, inverse = np.unique(join("high", np.uint32).astype(np.uint64) << U(16) | join("low", np.uint16).astype(np.uint64), return_inverse=True)
+        n = np.bincount(inverse, join("n", np.uint8)).astype(np.int64)
+        often = n >= FREQUENT_LEAST
+        return pa.table({"token": pa.array(t[often].astype(np.int64)), "n": pa.array(n[often])})
+
+    arrays = docs.select(F.col(text_col)).mapInArrow(run, "shard int, high binary, low binary, n binary")
+    found = arrays.groupBy("shard").applyInArrow(total, "token long, n long").orderBy(F.desc("n"), "token").limit(FREQUENT_TABLE).toArrow()
+    return Frequent(found.column("token").to_numpy().astype(np.uint64), found.column("n").to_numpy().astype(np.int64))
+
+
+def signatures(x: np.ndarray, heavy: Frequent, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The signatures of one sorted set, as distinct 64-bit hashes: (those that few sets can share,
     those whose tokens all are in at least HOT sets)."""
     n = len(x)
     slack = missing(n, num, den)
-    tokens, counts = heavy
-    at = np.minimum(np.searchsorted(tokens, x), max(len(tokens) - 1, 0))
-    frequent = tokens[at] == x if len(tokens) else np.zeros(n, bool)
+    frequent, count = heavy.of(x)
     rare, often = x[~frequent], x[frequent]
-    often = often[np.lexsort((often, counts[at[frequent]]))] if len(often) else often
+    by_count = np.lexsort((often, count[frequent]))
+    often, often_count = often[by_count], count[frequent][by_count]
     ordered = np.concatenate((rare, often))
     singles = ordered[: slack + 1]
-    hot_token = {int(t) for t, c in zip(often, counts[at[frequent]][np.lexsort((x[frequent], counts[at[frequent]]))], strict=True) if c >= HOT} if len(often) else set()
+    hot_token = set(often[often_count >= HOT].tolist())  # those not counted may be hot
     cold, hot = [x[:0]], [x[:0]]
 
     def put(singles: np.ndarray) -> None:
@@ -227,7 +276,7 @@ def classes(docs: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_i
     """One row per document: (doc_id, n_shingles, set_key, component), where component is the smallest
     doc_id that links reach, itself included."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    heavy = heavy_tokens(docs, "text", k)
+    heavy = frequent_tokens(docs, "text", k)
 
     def sign(part: pa.RecordBatch) -> pa.RecordBatch:
         values, at = shingles.shingle_sets(part.column(1), k)
