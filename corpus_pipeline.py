@@ -1,10 +1,62 @@
-"""A corpus pipeline over `documents`; each stage reads what the one before it wrote."""
+"""A corpus pipeline over `documents`: five stages, each on all that the one before it kept.
+
+1. quality: documents that the weakly supervised classifier rejects go.
+2. near_duplicates: of documents whose five-word shingles reach a Jaccard similarity of 0.8, directly
+   or over others, the one of the smallest doc_id stays.
+3. pii: spans of personal data are replaced by their kind; n_chars follows the text.
+4. mixing: sources are mixed at the temperature at which the smallest is repeated at most twice and
+   the largest once; no document goes, repeated ones are repeated rows.
+5. sentencepiece: every row's text becomes piece ids, with a check of the round trip.
+
+All but the last return the columns of `documents`. Extra columns of the input are dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import common, jaccard, mixing, pieces, pii, quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Up to so many ids are sent to all tasks; beyond, they are joined by a shuffle.
+SENT = 500_000
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(COLUMNS)
+    return quality.with_scores(docs, quality.fit(docs.select("doc_id", "text"))).filter("keep").select(COLUMNS)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.classes(docs, k=5, num=80, den=100)
+    gone = common.cut(found.filter("doc_id <> component").select("doc_id"))
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT else gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, cover=True, max_repeat=2.0, carry=("text", "lang", "n_chars")).select(COLUMNS)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    with open(pieces.model_path(), "rb") as f:
+        model = f.read()
+    return pieces.tokenized(docs, model)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
 
-STAGES: list = []
+#: The stages train models and encode; SQL can't express them. The tests hold them against brute force.
 ORACLE_SQL = None
 
 

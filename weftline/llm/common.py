@@ -121,3 +121,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def add_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], new: str, text_col: str = "text") -> DataFrame:
+    """`df` with the columns that `fn` makes of slices of it; `new` is their schema. Columns of these names are replaced."""
+    made = [f.strip().split(" ")[0].strip("`") for f in new.split(",")]
+    keep = [c for c in df.columns if c not in made]
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), new])
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        out = fn(part)
+        return pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in keep], *[out[c] for c in made]], names=[*keep, *made])
+
+    return map_rows(df, run, schema, text_col)

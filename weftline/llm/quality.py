@@ -175,9 +175,26 @@ def fit_scorer(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: in
     return w, b
 
 
-def score_docs(docs: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pattern, posterior, score, keep) of every document."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+class Scorer:
+    """What fitting found: the posterior of each vote pattern, and the linear scorer."""
+
+    def __init__(self, by_code: np.ndarray, w: np.ndarray, b: float) -> None:
+        self.by_code, self.w, self.b = by_code, w, b
+
+    def columns(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pattern, posterior, score) of each text."""
+        code = votes(texts) @ (3 ** np.arange(len(LABELLERS)))
+        p = self.by_code[code]
+        bucket, at = _hashed(texts)
+        s = p.copy()
+        for i in range(len(texts)):
+            if at[i + 1] > at[i]:
+                s[i] = 1 / (1 + np.exp(-np.clip(_shares(bucket[at[i] : at[i + 1]]) @ self.w + self.b, -30, 30)))
+        return code, p, s
+
+
+def fit(docs: DataFrame) -> Scorer | None:
+    """The scorer of (doc_id, text); None for an empty table."""
     base = 3 ** np.arange(len(LABELLERS))
 
     def vote(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -187,11 +204,11 @@ def score_docs(docs: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id
     voted = common.cut(common.map_rows(docs, vote, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern int"))
     table = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** 8 rows
     if not table:
-        return docs.select("doc_id", F.lit(0).alias("pattern"), F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("keep"))
+        return None
     codes = np.array([r["pattern"] for r in table])
     counts = np.array([r["count"] for r in table], float)
     posterior, _ = label_model((codes[:, None] // base) % 3, counts)
-    by_code = np.zeros(3 ** len(LABELLERS))
+    by_code = np.full(3 ** len(LABELLERS), float((counts * posterior).sum() / counts.sum()))
     by_code[codes] = posterior
     # a bounded training sample, spread over the patterns
     rates = F.element_at(F.array(*[F.lit(float(x)) for x in np.minimum(PER_PATTERN / np.maximum(counts, 1), 1.0)]), F.array_position(F.array(*[F.lit(int(c)) for c in codes]), F.col("pattern")).cast("int"))
@@ -213,19 +230,25 @@ def score_docs(docs: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id
     weight = np.sqrt(real[code] / np.maximum(share[code], 1))
     for side in (target >= 0.5, target < 0.5):  # the classes weigh alike
         weight[side] /= max(weight[side].sum(), 1e-9)
-    w, b = fit_scorer(x, target, weight)
+    return Scorer(by_code, *fit_scorer(x, target, weight))
 
-    def score(part: pa.RecordBatch) -> pa.RecordBatch:
-        code = votes(part.column(1)) @ base
-        p = by_code[code]
-        bucket, at = _hashed(part.column(1))
-        s = p.copy()
-        for i in range(part.num_rows):
-            if at[i + 1] > at[i]:
-                s[i] = 1 / (1 + np.exp(-np.clip(_shares(bucket[at[i] : at[i + 1]]) @ w + b, -30, 30)))
-        return common.batch_of({"doc_id": (part.column(0), None), "pattern": (code, pa.int32()), "posterior": (p, pa.float64()), "score": (s, pa.float64()), "keep": (s >= threshold, pa.bool_())})
 
-    return common.map_rows(docs, score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern int, posterior double, score double, keep boolean")
+def score_docs(docs: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pattern, posterior, score, keep) of every document."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_scores(docs, fit(docs), threshold=threshold).drop("text")
+
+
+def with_scores(df: DataFrame, scorer: Scorer | None, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """`df` with columns pattern, posterior, score and keep; those of its own by these names are replaced."""
+
+    def run(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        code, p, s = scorer.columns(part.column(part.schema.get_field_index(text_col)))
+        return {"pattern": pa.array(code, pa.int32()), "posterior": pa.array(p, pa.float64()), "score": pa.array(s, pa.float64()), "keep": pa.array(s >= threshold)}
+
+    if scorer is None:
+        return df.withColumns({"pattern": F.lit(0), "posterior": F.lit(0.0), "score": F.lit(0.0), "keep": F.lit(False)})
+    return common.add_columns(df, run, "pattern int, posterior double, score double, keep boolean", text_col)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
