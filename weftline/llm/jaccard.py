@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from weftline.llm import common, components, shingles
 
 U = np.uint64
-COMBINE, PARTS, SMALL, BLOCK = 2, 16, 200, 4096
+COMBINE, PARTS, SMALL, BLOCK = 2, 16, 200, 2048
 #: Up to so many members (of about 100 bytes) are sent to all tasks; beyond, texts are joined by a shuffle.
 SENT = 300_000
 HOT = 500
@@ -203,8 +203,10 @@ def forest(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[
             edges.append((i, j))
 
     flat = np.concatenate(sets) if m else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(m), sizes)
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
     token, flat_id = np.unique(flat, return_inverse=True)
+    flat_id = flat_id.astype(np.int32)
+    del flat
     df = np.bincount(flat_id, minlength=len(token))
     shared = df[flat_id] > 1
     # hubs first: one pass each over the tokens; most groups are stars around their first sets
@@ -248,10 +250,10 @@ def forest(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[
             ends = np.cumsum(span[own])
             lo = 0
             while lo < len(own):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, "right")))
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, "right")))
                 n = span[own[lo:hi]]
                 pick = np.repeat(start[own[lo:hi]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                inter += np.bincount(np.repeat(line[lo:hi], n) * m + rows[pick], minlength=len(chunk) * m)
+                inter += np.bincount(np.repeat(line[lo:hi], n) * np.int64(m) + rows[pick], minlength=len(chunk) * m)
                 lo = hi
             inter = inter.reshape(len(chunk), m)
         else:  # much is shared: products of 0/1 blocks
