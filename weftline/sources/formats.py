@@ -96,18 +96,18 @@ def parse_nv2(text: str) -> dict | None:
                 at += 1
         if at < len(lines) and level(lines[at]) > depth:
             raise ValueError(f"line too deep: {lines[at]!r}")
-        return rec, at
+        return {k: v[0] if len(v) == 1 else v for k, v in rec.items()}, at
 
-    rec, _ = block(level(lines[0]), level(lines[0]))
-    return {k: v[0] if len(v) == 1 else v for k, v in rec.items()}
+    return block(level(lines[0]), level(lines[0]))[0]
 
 
 def _from_json(df: DataFrame, schema, declared: dict[str, str] | None) -> DataFrame:
     """Rows of JSON text (column value) as columns: by `schema`, or inferred."""
     if schema is not None:
         return df.select(F.from_json("value", schema if isinstance(schema, str) else schema.simpleString()).alias("r")).select("r.*")
-    found = df.sparkSession.read.option("primitivesAsString", "true").json(df.select("value"))
-    return infer(found, declared)
+    # Spark infers a schema from JSON texts only as an RDD; the rows themselves stay a DataFrame
+    found = df.sparkSession.read.option("primitivesAsString", "true").json(df.select("value").rdd.map(lambda r: r[0])).schema
+    return infer(df.select(F.from_json("value", found).alias("r")).select("r.*"), declared)
 
 
 @operator("nv2", "source")
