@@ -1,0 +1,253 @@
+"""Pieces, media, repeats, personal data, languages, toxicity, quality and the pipeline."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from weftline.llm import langid, media, pieces, pii, quality, substrings, toxicity
+
+ODD = [None, "", " ", "x", "é漢字🙂", "a▁b ▁", "\0\0", "  two  blanks ", "tab\tline\n\n", "z" * 5000, "word " * 3000]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, score int")
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+# --- pieces ---
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(pieces.model_path(), "rb") as f:
+        return f.read()
+
+
+def test_pieces_against_the_library(model, documents):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    own = pieces.ready(model)
+    proto = pb.ModelProto()
+    proto.ParseFromString(model)
+    proto.trainer_spec.model_type = 1
+    for p, s in zip(proto.pieces, own.scores, strict=True):
+        p.score = s
+    lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    texts = [r.text for r in documents.limit(60).collect()] + [t for t in ODD if t and "▁" not in t and "\0" not in t]
+    for mine, theirs in zip(own.encode(texts, {}), lib.encode(texts), strict=True):
+        if mine != theirs:  # only among segmentations of equal score
+            score = lambda ids: sum(own.scores[i] for i in ids if i not in own.byte_of)
+            assert abs(score(mine) - score(theirs)) < 1e-2 * max(1, len(mine) / 100)
+
+
+def test_pieces_round_trip(spark, model):
+    out = pieces.tokenized(frame(spark, ODD), model).collect()
+    assert all(r.round_trip for r in out) and {r.doc_id: r.n_tokens for r in out}[0] == 0
+    assert pieces.tokenized(frame(spark, []), model).count() == 0
+
+
+def test_long_units_agree(model):
+    own, rng = pieces.ready(model), random.Random(1)
+    for _ in range(50):
+        u = "".join(rng.choice("abcdeth▁ing🙂é") for _ in range(rng.randint(1, 40))).replace("▁", "")
+        if u:
+            assert own.segment_long(u) == own.segment([u])[0]
+
+
+# --- media ---
+
+
+def test_media_round_trip(spark):
+    texts = [*ODD, "".join(map(chr, range(1, 700))), "same", "same"]
+    got = {r.doc_id: r for r in media.read_clips(media.store_avi(frame(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        payload = b + b"\xff" * (max(-(-len(b) // 576), 1) * 576 - len(b))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.clips[0].first_frame == 0 and r.clips[-1].end_frame == len(payload) // 576
+    assert got[len(texts) - 1].media_sha256 == got[len(texts) - 2].media_sha256
+
+
+def test_media_finds_a_cut_and_any_bytes():
+    rng = np.random.default_rng(0)
+    x = np.concatenate((rng.integers(0, 60, (20, 576)), rng.integers(180, 256, (20, 576)))).astype(np.uint8)
+    rate, frames = media.parse_avi(media.avi_of(media.frames_of(x.ravel())))
+    assert rate == 25 and (media.decode_frames(frames) == x).all()
+    assert media.shots(x) == [(0, 20), (20, 40)]
+
+
+# --- repeats ---
+
+
+def brute_repeats(texts, length=200):
+    bodies, seen = [(t or "").encode() for t in texts], {}
+    for b in bodies:
+        for p in range(len(b) - length + 1):
+            seen[b[p : p + length]] = seen.get(b[p : p + length], 0) + 1
+    out = []
+    for b in bodies:
+        cover = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                cover[p] += 1
+                cover[p + length] -= 1
+        on = np.cumsum(cover)[:-1] > 0
+        kept = np.frombuffer(b, np.uint8)[~on].tobytes()
+        out.append((len(b), int(on.sum()), int((np.diff(np.concatenate(([0], on.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_against_brute_force(spark, documents):
+    rng = random.Random(2)
+    base = "".join(rng.choice("ab cdé") for _ in range(3000))
+    texts = [base, base[:1500] + "X" + base[1500:], base[700:1000], "ab" * 400, "ab" * 150 + "c", "z" * 199, "z" * 200, "z" * 200, None, "", base[100:299], base[100:300]]
+    texts += [base[i * 7 : i * 7 + 230] + str(i) for i in range(60)] + [r.text for r in documents.limit(80).collect()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_repeats(texts)))
+    assert substrings.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_repeats_of_equal_rows(spark):
+    df = spark.createDataFrame([(1, "q" + "r" * 150 + "s" * 150)] * 2, "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_repeats(df).collect()] == [301, 301]
+
+
+# --- personal data ---
+
+
+def base_spans(text):
+    """The base patterns, written as the contract has them."""
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0 if d else False
+            if kind == "email" or (kind == "ip" and all(int(p) <= 255 for p in m.group().split("."))) or (kind == "card" and 14 <= len(d) <= 19 and luhn) or (kind == "phone" and 10 <= len(d) <= 15):
+                out.append((m.start(), ("email", "ip", "card", "phone").index(kind), m.end(), kind))
+    return [(k, s, e) for s, _, e, k in sorted(out)]
+
+
+def test_base_spans(spark, documents):
+    texts = [r.text for r in documents.collect()] + ["a@b.c@d.e x@y", "1.2.3.4.5.6.7.8 256.1.1.1 1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713.", "é +49 30 123456789 ü a@b.co", None, "", "+" * 50, "9" * 3000]
+    got = {r.doc_id: r for r in pii.annotate(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t or "")
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), i
+        assert set(filter(None, joined.split(","))) <= set(filter(None, got[i].spans.split(",")))
+        assert got[i].n_email == sum(k == "email" for k, _, _ in want)
+    assert pii.annotate(frame(spark, [])).count() == 0
+
+
+def test_redaction():
+    assert pii.redact("x a@b.c y", [("email", 2, 7)]) == "x [EMAIL] y"
+    assert pii.redact("0123456789", [("card", 2, 6), ("phone", 4, 8)]) == "01[CARD]89"
+
+
+# --- languages, toxicity, quality ---
+
+
+def test_languages(spark, documents):
+    out = langid.identify(documents).join(documents.select("doc_id", "lang"), "doc_id")
+    held = out.filter("held_out")
+    assert held.filter("lang = lang_pred").count() >= 0.97 * held.count()
+    odd = langid.identify(spark.createDataFrame([(i, t, "en") for i, t in enumerate(ODD)], "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r.lang_pred for r in odd}[0] == "und" and {r.doc_id: r.lang_pred for r in odd}[2] == "und"
+    assert langid.identify(documents.limit(0)).count() == 0
+
+
+def test_out_of_place_by_hand():
+    codes, counts = langid.ngrams("abab")
+    assert langid.ranked(codes, counts, 2).tolist() == sorted([ord("a"), ord("b")])
+    index = langid.index_of({"x": [1, 2, 3], "y": [3, 9]})[1]
+    assert langid.distances(np.array([2, 3, 7]), index).tolist() == [1 + 1 + langid.PROFILE, langid.PROFILE + 1 + langid.PROFILE]
+
+
+def test_toxicity(spark):
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choice(("tha", "ion", "re", "ing", "st", "ou")) for _ in range(rng.randint(1, 3)))
+    texts, labels = [], []
+    for i in range(600):
+        w = [word() for _ in range(60)]
+        bad = i % 4 == 0
+        if bad:
+            for _ in range(4):
+                w[rng.randrange(60)] = rng.choice(("grumbol", "zwackel"))
+        texts.append(" ".join(w) + ".")
+        labels.append((i, int(bad)))
+    docs = frame(spark, [*texts, "you zwa.ckel and gr.umbol and z w a c k e l", None, ""])
+    out = {r.doc_id: r for r in toxicity.score_docs(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i, _ in labels if out[i].held_out]
+    assert np.mean([out[i].predicted == labels[i][1] for i in held]) > 0.97
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out.values())
+    assert out[600].predicted == 1 and out[601].score == 0 and out[602].score == 0
+    assert toxicity.score_docs(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_kernel_is_a_weighted_count_of_subsequences():
+    direct = {}
+    w = "banana"
+    for i in range(6):
+        for j in range(i + 1, 6):
+            for k in range(j + 1, 6):
+                direct[w[i] + w[j] + w[k]] = direct.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
+    v = toxicity.spread(w) * toxicity.triples(6)[2]
+    assert np.allclose(sorted(v[v > 0]), sorted(direct.values()), rtol=1e-4)
+
+
+def test_quality(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = quality.score_docs(docs).join(labels, "doc_id").select("keep", "quality").toPandas()
+    assert (out.keep == (out.quality == 1)).mean() > 0.95
+    odd = quality.score_docs(frame(spark, ODD)).count()
+    assert odd == len(ODD) and quality.score_docs(frame(spark, [])).count() == 0
+
+
+def test_label_model_finds_a_better_than_chance_split():
+    patterns = np.full((3, len(quality.LABELLERS)), quality.NONE)
+    patterns[1, 0] = patterns[1, 3] = quality.BAD
+    patterns[2, 7] = quality.GOOD
+    p, _ = quality.label_model(patterns, np.array([10.0, 50.0, 900.0]))
+    assert p[1] < 0.1 and p[2] > 0.9 and p[1] < p[0] < 1
+
+
+def test_votes_do_not_cross_rows():
+    a = quality.votes(pa.array(["! " * 20, "plain words of a text that goes on, and on."]))
+    b = quality.votes(pa.array(["plain words of a text that goes on, and on."]))
+    assert (a[1] == b[0]).all() and (quality._hashed(pa.array(["ab", "cdef"]))[1] == [0, 0, 2]).all()
+
+
+# --- pipeline ---
+
+
+def test_pipeline(spark, sf, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        counts.append(docs.count())
+        if name != "sentencepiece":
+            assert docs.columns == corpus_pipeline.COLUMNS
+        if name == "pii":
+            assert not any(base_spans(r.text) for r in docs.collect())
+            assert docs.filter("n_chars <> length(text)").count() == 0
+        if name == "mixing":
+            assert docs.select("doc_id").distinct().count() == before.count()
+            assert docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    assert docs.filter("not round_trip").count() == 0
+    assert counts[0] < 1000 and counts[1] < counts[0] and counts[2] == counts[1] <= counts[3] == counts[4]

@@ -84,9 +84,9 @@ def search(vectors: DataFrame, *, k: int = 5, scale: float = 256.0, every: int =
     def run(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
         ids, mark = table.column("id").to_numpy(), table.column("is_query").to_numpy()
-        flat = np.floor(scale * table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64)).reshape(-1, dim)
+        flat = np.floor(scale * table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64)).reshape(len(ids), dim)
         if np.abs(flat).max(initial=0) >= 2.0**52:
-            flat = np.array([[int(x) for x in row] for row in flat], object).reshape(-1, dim)
+            flat = np.array([[int(x) for x in row] for row in flat], object).reshape(len(ids), dim)
         queries = np.flatnonzero(mark)
         candidates = np.flatnonzero(~mark)
         q, x, s = block_top(flat[queries], ids[queries], flat[candidates].T, ids[candidates], k)
