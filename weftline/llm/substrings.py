@@ -35,8 +35,6 @@ from weftline.llm import common, shingles
 
 U = np.uint64
 LENGTH, GRAM = 200, 24
-#: Up to so many small rows are sent to all tasks; beyond, they are joined by a shuffle.
-SENT = 500_000
 _POSITION = U((1 << 34) - 1)
 _BYTE = common.mix64(np.arange(1, 257, dtype=np.uint64) * U(0xD1342543DE82EF95))
 
@@ -147,12 +145,10 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
     kinds = kinds.withColumn("segments", F.count(F.lit(1)).over(Window.partitionBy("gram")))
     kinds = common.cut(kinds.filter("n > 1 or segments > 1"))
     again = kinds.filter("n > 1").select("gram", "content")
-    again = F.broadcast(again) if again.count() <= SENT else again
-    whole = found.join(again, ["gram", "content"], "left_semi").select("row_key", "first", (F.col("first") + F.col("strings") + LENGTH - 1).alias("end"))
+    whole = common.cut(found.join(again, ["gram", "content"], "left_semi").select("row_key", "first", (F.col("first") + F.col("strings") + LENGTH - 1).alias("end")))
     spots = kinds.filter("segments > 1").select("gram", "n", "at.*").groupBy(F.col("row_key").alias("k")).agg(F.collect_list(F.struct("gram", "n", "first", "strings", "place")).alias("spots"))
     spots = common.cut(spots)
-    few = spots.agg(F.coalesce(F.sum(F.size("spots")), F.lit(0))).first()[0] <= SENT
-    texts = docs.join(F.broadcast(spots) if few else spots, F.col("row_key") == F.col("k"))
+    texts = docs.join(spots, F.col("row_key") == F.col("k"))
 
     def fetch(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = common.raw(part.column(1))
@@ -196,7 +192,7 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
             yield batch(out)
         yield batch(flush(held))
 
-    partial = bodies.repartition("gram").sortWithinPartitions("gram").mapInArrow(induce, "row_key long, first int, end int")
+    partial = common.cut(bodies.repartition("gram").sortWithinPartitions("gram").mapInArrow(induce, "row_key long, first int, end int"))
     return common.cut(whole.union(partial).groupBy("row_key").agg(F.collect_list(F.struct("first", "end")).alias("ranges")))
 
 
@@ -204,9 +200,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every text; kept: the remaining bytes."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
     ranges = covered_ranges(docs.select("row_key", "text"))
-    few = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0] <= 4 * SENT
     ranges = ranges.withColumnRenamed("row_key", "k")
-    joined = docs.join(F.broadcast(ranges) if few else ranges, F.col("row_key") == F.col("k"), "left").select("doc_id", "text", "ranges")
+    joined = docs.join(ranges, F.col("row_key") == F.col("k"), "left").select("doc_id", "text", "ranges")
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = common.raw(part.column(1))
