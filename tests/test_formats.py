@@ -58,6 +58,18 @@ def test_nvp(spark, tmp_path):
     assert [(r.id, r.clause and tuple(r.clause[0])) for r in got.orderBy("id").collect()] == [("1", ("3", "x")), ("2", None)]
 
 
+def test_djf(spark, tmp_path):
+    import zlib
+
+    body = b""
+    for key, rec in (("a|1", "id:1\nclause:bid:3\n"), ("b|", "id:2\n")):
+        z = zlib.compress(rec.encode())
+        body += len(key).to_bytes(4, "big") + key.encode() + len(z).to_bytes(4, "big") + z
+    (tmp_path / "x.djf").write_bytes(body)
+    got = formats.read_djf(spark, str(tmp_path / "x.djf"), keys=("k", "n"))
+    assert sorted((r.k, r.n, r.id) for r in got.collect()) == [("a", "1", 1), ("b", "", 2)]
+
+
 @pytest.mark.parametrize(("text", "kind"), [("1", "bigint"), ("1.0", "double"), ("1e3", "double"), ("1e999", "string"), ("TRUE", "boolean"), ("abc", "string"), ("99999999999999999999", "string")])
 def test_types_of_values(text, kind):
     assert formats.type_of(text) == kind

@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,10 +240,7 @@ NVP_SUBS = ("clause", "keyword")
 NVP_FIELDS = ("targetingClauseId", "subId", "bid", "expression", "type", "override", "clause")
 
 
-@operator("nvp", "source")
-def read_nvp(spark: SparkSession, path: str, subs: tuple[str, ...] = NVP_SUBS, sub_fields: tuple[str, ...] = NVP_FIELDS, schema=None, declared: dict[str, str] | None = None, **common) -> DataFrame:
-    """PATH.nvp. name:value lines, ---: ends a record; fields `subs` hold name:value pairs by bars."""
-
+def _nvp_parser(subs: tuple[str, ...], sub_fields: tuple[str, ...]):
     def parse(text: str) -> dict | None:
         rec: dict[str, list] = {}
         for line in text.split("\n"):
@@ -256,6 +254,48 @@ def read_nvp(spark: SparkSession, path: str, subs: tuple[str, ...] = NVP_SUBS, s
                 rec.setdefault(name, []).append(v)
         return {k: v if k in subs or len(v) > 1 else v[0] for k, v in rec.items()} or None
 
+    return parse
+
+
+@operator("djf", "source")
+def read_djf(spark: SparkSession, path: str, keys: tuple[str, ...] = (), subs: tuple[str, ...] = NVP_SUBS, sub_fields: tuple[str, ...] = NVP_FIELDS, schema=None, declared: dict[str, str] | None = None) -> DataFrame:
+    """PATH.djf. Per record: with `keys`, a length and the key values by bars; a length and a deflated nvp record.
+
+    Lengths are 32-bit big-endian. A file is read by one task.
+    """
+    parse = _nvp_parser(subs, sub_fields)
+
+    def records(data: bytes):
+        at = 0
+        while at + 4 <= len(data):
+            key = None
+            if keys:
+                n = int.from_bytes(data[at : at + 4], "big")
+                key = data[at + 4 : at + 4 + n].decode().split("|")
+                at += 4 + n
+                if len(key) != len(keys):
+                    raise ValueError(f"key values {key} for {keys}")
+            n = int.from_bytes(data[at : at + 4], "big")
+            rec = parse(zlib.decompress(data[at + 4 : at + 4 + n]).decode()) or {}
+            at += 4 + n
+            yield {**rec, **(dict(zip(keys, key, strict=True)) if key else {})}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for body in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(r) for r in records(body)], pa.string())], names=["value"])
+
+    return _from_json(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string"), schema, declared)
+
+
+@operator("nvp", "source")
+def read_nvp(spark: SparkSession, path: str, subs: tuple[str, ...] = NVP_SUBS, sub_fields: tuple[str, ...] = NVP_FIELDS, schema=None, declared: dict[str, str] | None = None, **common) -> DataFrame:
+    """PATH.nvp. name:value lines, ---: ends a record; fields `subs` hold name:value pairs by bars."""
+
+    parse = _nvp_parser(subs, sub_fields)
+
     def run(batches):
         import pyarrow as pa
 
