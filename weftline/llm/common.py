@@ -91,6 +91,9 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of each row of a string, binary or list<int> column."""
+    if pa.types.is_list(column.type):
+        return 4 * np.diff(column.offsets.to_numpy())
     return np.diff(raw(column)[1])
 
 

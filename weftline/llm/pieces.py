@@ -342,7 +342,7 @@ class Pieces:
 
 _READY: dict[bytes, Pieces] = {}
 #: Units remembered by a worker.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def ready(data: bytes) -> Pieces:
@@ -380,12 +380,13 @@ def decode(df: DataFrame, model: bytes, *, ids_col: str = "ids", text_col: str =
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         ids = part.column(part.schema.get_field_index(ids_col))
-        flat, at = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_pylist()
+        flat, at = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy()
+        at = (at - at[0]).tolist()
         rows = [None if v is False else flat[a:b] for v, a, b in zip(ids.is_valid().to_pylist(), at[:-1], at[1:], strict=True)]
         keep = [f.name for f in schema.fields if f.name != text_col]
         return pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in keep], pa.array(ready(model).decode(rows), pa.string())], names=[*keep, text_col])
 
-    return common.map_rows(df, run, schema, None)
+    return common.map_rows(df, run, schema, ids_col)
 
 
 def tokenized(docs: DataFrame, model: bytes) -> DataFrame:
@@ -393,7 +394,7 @@ def tokenized(docs: DataFrame, model: bytes) -> DataFrame:
     coded = decode(encode(docs.select("doc_id", "text"), model), model)
     first, last = min(ready(model).byte_of, default=0), max(ready(model).byte_of, default=-1)
     return coded.select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.size(F.filter("ids", lambda x: x.between(first, last))).cast("long").alias("n_byte_tokens"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip")
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.size(F.filter("ids", lambda x: x.between(first, last))), F.lit(0)).cast("long").alias("n_byte_tokens"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip")
     )
 
 
