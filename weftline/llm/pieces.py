@@ -23,8 +23,11 @@ by `encode` and `decode` unless named as their output. Rows are independent.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -276,33 +279,39 @@ class Pieces:
             better = s > best[i + 1][bare]
             bare = bare[better]
             best[i + 1, bare], from_[i + 1, bare], piece[i + 1, bare] = s[better], i, -1
-        from_, piece = from_.T.tolist(), piece.T.tolist()
-        for row, i in enumerate(block):
-            f, p = from_[row], piece[row]
-            at, ids, plain = len(units[i]), [], True
-            while at:
-                v = p[at]
-                ids.append(v)
-                plain &= v >= 0
-                at = f[at]
-            out[i] = ids[::-1] if plain else self._collect(units[i], self._walk([(a, b) for a, b in zip(f, p, strict=True)], len(units[i])))
+        # walk back from the ends, all units a piece at a time; then the pieces in order, unit by unit
+        at, steps, who = size.astype(np.int64), [], np.arange(n)
+        while (at > 0).any():
+            steps.append(np.where(at > 0, piece[at, who], -2))
+            at = np.where(at > 0, from_[at, who], 0)
+        path = np.array(steps[::-1]).T
+        taken = path != -2
+        flat, ends = path[taken].tolist(), np.cumsum(taken.sum(1)).tolist()
+        bare = ((path == -1).any(1)).tolist()
+        start = 0
+        for row, (i, end) in enumerate(zip(block.tolist(), ends, strict=True)):
+            out[i] = self._collect(units[i], self._walk([*zip(from_[:, row].tolist(), piece[:, row].tolist(), strict=True)], len(units[i]))) if bare[row] else flat[start:end]
+            start = end
 
     def encode(self, texts: list[str | None], cache: dict[str, list[int]]) -> list[list[int] | None]:
         """The piece ids of each text. `cache` holds units already segmented."""
-        cut = []
-        fresh: dict[str, None] = {}
+        cut: list[list | None] = []
+        fresh: set[str] = set()
         for text in texts:
             if not text:
                 cut.append(text if text is None else [])
                 continue
             # literal markers stand aside, as bytes, between what is around them
-            parts = (MARK + text.replace(MARK, "\0\0" if "\0\0" not in text else MARK)) if MARK not in text else None
-            units = self.unit.findall(parts.replace(" ", MARK)) if parts else self._with_literals(text)
+            units = self._with_literals(text) if MARK in text else self.unit.findall(MARK + text.replace(" ", MARK))
             cut.append(units)
-            fresh.update(dict.fromkeys(u for u in units if isinstance(u, str) and u not in cache))
+            fresh |= {u for u in units if isinstance(u, str)}.difference(cache) if MARK in text else set(units).difference(cache)
         todo = list(fresh)
         cache.update(zip(todo, self.segment(todo), strict=True))
-        return [None if units is None else [x for u in units for x in (cache[u] if isinstance(u, str) else u)] for units in cut]
+        found = cache.__getitem__
+        return [
+            None if units is None else [x for u in units for x in (cache[u] if isinstance(u, str) else u)] if text and MARK in text else list(chain.from_iterable(map(found, units)))
+            for text, units in zip(texts, cut, strict=True)
+        ]
 
     def _with_literals(self, text: str) -> list:
         literal, out = self.spelt(MARK), []
@@ -340,6 +349,18 @@ class Pieces:
         return out
 
 
+@contextmanager
+def _uncollected():
+    """Without the cyclic garbage collector: the many lists of ids have no cycles, only the cost of looking for them."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 _READY: dict[bytes, Pieces] = {}
 #: Units remembered by a worker.
 REMEMBERED = 150_000
@@ -363,9 +384,10 @@ def encode(df: DataFrame, model: bytes, *, text_col: str = "text", ids_col: str
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         if len(cache) > REMEMBERED:
             cache.clear()
-        ids = ready(model).encode(part.column(part.schema.get_field_index(text_col)).to_pylist(), cache)
-        flat = np.fromiter((x for row in ids if row for x in row), np.int32)
+        with _uncollected():
+            ids = ready(model).encode(part.column(part.schema.get_field_index(text_col)).to_pylist(), cache)
         at = np.concatenate(([0], np.cumsum([len(row or ()) for row in ids])))
+        flat = np.fromiter(chain.from_iterable(filter(None, ids)), np.int32, int(at[-1]))
         mask = pa.array([row is None for row in ids])
         column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat), mask=mask)
         keep = [f.name for f in schema.fields if f.name != ids_col]
@@ -384,7 +406,9 @@ def decode(df: DataFrame, model: bytes, *, ids_col: str = "ids", text_col: str =
         at = (at - at[0]).tolist()
         rows = [None if v is False else flat[a:b] for v, a, b in zip(ids.is_valid().to_pylist(), at[:-1], at[1:], strict=True)]
         keep = [f.name for f in schema.fields if f.name != text_col]
-        return pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in keep], pa.array(ready(model).decode(rows), pa.string())], names=[*keep, text_col])
+        with _uncollected():
+            texts = ready(model).decode(rows)
+        return pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in keep], pa.array(texts, pa.string())], names=[*keep, text_col])
 
     return common.map_rows(df, run, schema, ids_col)
 
