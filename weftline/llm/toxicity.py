@@ -177,12 +177,12 @@ def fit(positive: dict[str, int], negative: list[str], near: list[str]) -> Machi
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Machine | None:
     """The machine learned from (doc_id, text) and (doc_id, toxic); None if nothing can be learned."""
     labels = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).filter(F.col("y").isNotNull() & ~common.held_out("i")).distinct()
-    known = docs.join(labels, F.col("doc_id") == F.col("i")).select("doc_id", "text", "y")
     sizes = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}  # a row a label
     if not sizes.get(1) or not sizes.get(0):
         return None
     rate = F.when(F.col("y") == 1, sample / sizes[1]).otherwise(sample / sizes[0])
-    chosen = common.cut(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30)))
+    drawn = labels.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < rate * (1 << 30)).orderBy(F.xxhash64("i"), "i", "y").limit(4 * sample)
+    chosen = common.cut(docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("i")).select("doc_id", "text", "y"))  # ids of the sample only
 
     def contexts(part: pa.RecordBatch) -> pa.RecordBatch:
         seen = set()
