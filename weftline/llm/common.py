@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words of the ASCII-white-space convention, as a pattern that Java and RE2 read alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are taken in slices of about so many bytes (a longer text is a slice of its own).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 HELD_OUT_REMAINDER, FOLDS = 2, 4
 
 

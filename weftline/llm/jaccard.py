@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from weftline.llm import common, components, shingles
 
 U = np.uint64
-COMBINE, PARTS, SMALL, BLOCK = 2, 16, 200, 2048
+COMBINE, PARTS, SMALL, BLOCK = 2, 16, 200, 1024
 #: Up to so many members (of about 100 bytes) are sent to all tasks; beyond, texts are joined by a shuffle.
 SENT = 300_000
 HOT = 500
@@ -119,7 +119,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, k: int) -> Frequent:
                         if len(seen) < 200_000:
                             seen.add(key)
                         held.append(token_ids(x[counted(x)]))
-                if sum(map(len, held)) > 2_000_000:
+                if sum(map(len, held)) > 500_000:
                     yield fold()
                     held.clear()
         if held:
