@@ -152,6 +152,22 @@ def test_base_spans(spark, documents):
     assert pii.annotate(frame(spark, [])).count() == 0
 
 
+def test_loose_forms_are_added_however_common(spark):
+    rng = random.Random(3)
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    texts = []
+    for i in range(200):
+        a, b, c = number(3), number(3), number(4)
+        texts.append(f"the kind of john{i}@mail{i % 7}.example.com and +1 ({a}) {b}-{c} or {number(16)} there")
+        texts.append(f"write to jane{i} (at) mail (dot) example (dot) com soon, tel. {a} {b} {c} at noon")
+        texts.append(f'so token = "{number(8)}abcdef{number(8)}" and the years 2019 2020 2021 2022 were')
+    got = {r.doc_id: r for r in pii.annotate(frame(spark, texts)).collect()}
+    for i in range(0, 600, 3):
+        assert got[i].n_added == 0
+        assert got[i + 1].redacted == "write to [EMAIL] soon, tel. [PHONE] at noon" and got[i + 1].n_added == 2
+        assert got[i + 2].redacted == 'so token = "[SECRET]" and the years 2019 2020 2021 2022 were'
+
+
 def test_redaction():
     assert pii.redact("x a@b.c y", [("email", 2, 7)]) == "x [EMAIL] y"
     assert pii.redact("0123456789", [("card", 2, 6), ("phone", 4, 8)]) == "01[CARD]89"
