@@ -213,6 +213,23 @@ def test_toxicity(spark):
     assert toxicity.score_docs(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_learns_every_word_that_stands_out(spark):
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 7))) for _ in range(300)]
+    odd = ["".join(rng.choice("bcdfghjkpqvwxyz") for _ in range(8)) for _ in range(160)]
+    texts, labels = [], []
+    for i in range(8000):  # each odd word in 12 or 13 of 2,000 toxic texts
+        w = [rng.choice(plain) for _ in range(12)]
+        if i % 4 == 0:
+            w[rng.randrange(12)] = odd[i // 4 % 160]
+        texts.append(" ".join(w) + ".")
+        labels.append((i, int(i % 4 == 0)))
+    out = {r.doc_id: r for r in toxicity.score_docs(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i, _ in labels if out[i].held_out]
+    assert np.mean([out[i].predicted for i in held if labels[i][1]]) > 0.9
+    assert np.mean([out[i].predicted for i in held if not labels[i][1]]) < 0.02
+
+
 def test_kernel_is_a_weighted_count_of_subsequences():
     direct = {}
     w = "banana"

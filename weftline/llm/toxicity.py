@@ -3,15 +3,19 @@
 Kernel. A word is described by its subsequences of three characters, each weighing decay ** span,
 so that a gap or an inserted character weakens a match without breaking it. Characters that stand in for
 letters (0 for o, $ for s) count as those; letters spelt out one by one ("i d i o t") count as a word
-as well. Words of more than `WIDE` characters are read through windows of that width. The kernel is
+as well. Words of more than `WIDE` characters are read through windows of that width, `STRIDE` apart. The kernel is
 divided by the norm that a word of that length has if no subsequence repeats.
 
 Training. Sentences of labelled documents (folds 0, 1 and 3 of crc32(doc_id as text) mod 4; a
-sample of about `SAMPLE` documents of each label, drawn by hash) are bags of words. Words that
-stand in many different contexts in toxic sentences and in next to none of clean ones are the
-positive examples, and so are copies of them with one character inserted or a gap; words of clean
-sentences are the negatives, in a second round also those that the first machine scored highest.
-Landmarks are the positive words and the most similar and most frequent negatives. A linear
+sample of about `SAMPLE` documents of each label, drawn by hash) are bags of words. All words of at
+least `LEAST` different contexts in toxic sentences of two texts or more are positive examples, if at
+least 95 % of their contexts would be toxic were both kinds of sentences as frequent, and if that
+happens by chance (Chernoff's bound) with a probability of `CHANCE` at most; neither depends on the
+size of the tables. So are copies of them with one character inserted or a gap; words of clean
+sentences are the negatives, in a second round also those that the first machine scored highest and
+that don't lean to toxic sentences; words in between are not trained on.
+Landmarks are positive words, at most `LANDMARKS`, each the one worst covered by those before it
+(pivoted Cholesky decomposition), and the most similar and most frequent negatives. A linear
 machine on the Nystroem features is fitted by sub-gradient steps on the hinge loss. As it is linear in
 the kernel, and the kernel in the subsequences, it is then folded into one weight a subsequence.
 
@@ -24,6 +28,7 @@ empty table gives no rows. Labels, language, source and id are no inputs of a sc
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -34,11 +39,12 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-SAMPLE, DECAY, WIDE, THRESHOLD = 4000, 0.6, 14, 0.3
+SAMPLE, DECAY, WIDE, STRIDE, THRESHOLD = 4000, 0.6, 14, 2, 0.3
+LEAST, CHANCE = 5, 1e-4
 COST, EPOCHS = 2.0, 12
 #: How much several moderate words add to a document's value: log-sum-exp at this sharpness.
 SHARP = 3.0
-POSITIVES, NEAR, FREQUENT, NEGATIVES = 48, 48, 32, 6000
+LANDMARKS, NEAR, FREQUENT, NEGATIVES = 96, 48, 32, 6000
 BITS = 6
 _STAND_IN = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _CODES = np.zeros(0x110000, np.uint8)
@@ -79,7 +85,7 @@ def words_of(text: str) -> dict[str, int]:
 
 
 def windows(word: str) -> list[str]:
-    return [word] if len(word) <= WIDE else [word[i : i + WIDE] for i in (*range(0, len(word) - WIDE, WIDE // 2), len(word) - WIDE)]
+    return [word] if len(word) <= WIDE else [word[i : i + WIDE] for i in (*range(0, len(word) - WIDE, STRIDE), len(word) - WIDE)]
 
 
 def codes_of(words: list[str]) -> np.ndarray:
@@ -117,6 +123,23 @@ def spread(word: str) -> np.ndarray:
     return v
 
 
+def covering(words: list[str], most: int = LANDMARKS) -> list[str]:
+    """At most `most` of the words, each the one that those before it leave most of."""
+    first = [windows(w)[0] for w in words]
+    left = np.array([float((spread(w) ** 2).sum()) for w in first])
+    found, columns = [], np.zeros((len(words), 0))
+    while len(found) < min(most, len(words)):
+        at = int(np.argmax(left))
+        if left[at] < 1e-3:
+            break
+        column = (folded(first, spread(first[at])) - columns @ columns[at]) / np.sqrt(left[at])
+        columns = np.column_stack((columns, column))
+        left = left - column * column
+        left[at] = 0.0
+        found.append(words[at])
+    return found
+
+
 def variants(word: str, rng: np.random.Generator, n: int = 6) -> list[str]:
     out = []
     for _ in range(n):
@@ -141,17 +164,15 @@ class Machine:
 
 def fit(positive: dict[str, int], negative: list[str], near: list[str]) -> Machine:
     """The machine on Nystroem features of words. positive: words with the number of their contexts, on
-    which their weights depend; those with at least a tenth of the most have variants. near: negatives
-    that are landmarks besides the first ones, and weigh more."""
+    which their weights depend. near: negatives that are landmarks besides the first ones, and weigh more."""
     rng = np.random.default_rng(7)
-    landmarks = list(dict.fromkeys([*positive, *near[:NEAR], *negative[:FREQUENT]]))
+    landmarks = list(dict.fromkeys([*covering(list(positive)), *near[:NEAR], *negative[:FREQUENT]]))
     basis = np.stack([spread(w) for w in landmarks])
     gram = basis @ basis.T
     values, vectors = np.linalg.eigh(gram.astype(float))
     keep = values > 1e-5 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    strong = [w for w, n in positive.items() if n >= 0.1 * max(positive.values())]
-    more = [(v, positive[w]) for w in strong for v in variants(w, rng)]
+    more = [(v, n) for w, n in positive.items() for v in variants(w, rng)]
     words = [*positive, *[v for v, _ in more], *negative]
     y = np.array([1.0] * (len(positive) + len(more)) + [-1.0] * len(negative))
     hard = set(near)
@@ -185,26 +206,28 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Machin
     chosen = common.cut(docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("i")).select("doc_id", "text", "y"))  # ids of the sample only
 
     def contexts(part: pa.RecordBatch) -> pa.RecordBatch:
-        seen = set()
+        seen: dict[tuple[str, str, int], set[int]] = {}
         for text, y in zip(common.texts(part.column(1)), part.column(2).to_pylist(), strict=True):
             for sentence in _SENTENCE.split(text):
                 before = ""
                 for w in sentence.lower().split():
                     w = w.strip(_EDGE)
                     if len(w) >= 3:
-                        seen.add((w, before, y))
+                        seen.setdefault((w, before, y), set()).add(zlib.crc32(text.encode("utf-8", "replace")))
                     before = w
-        return common.batch_of({"word": ([x[0] for x in seen], pa.string()), "before": ([x[1] for x in seen], pa.string()), "y": ([x[2] for x in seen], pa.int32())})
+        return common.batch_of({"word": ([x[0] for x in seen], pa.string()), "before": ([x[1] for x in seen], pa.string()), "y": ([x[2] for x in seen], pa.int32()), "low": ([min(x) for x in seen.values()], pa.int64()), "high": ([max(x) for x in seen.values()], pa.int64())})
 
-    found = common.map_rows(chosen, contexts, "word string, before string, y int")
-    table = found.distinct().groupBy("word").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("good"))
+    found = common.map_rows(chosen, contexts, "word string, before string, y int, low long, high long").groupBy("word", "before", "y").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    toxic = F.col("y") == 1
+    table = found.groupBy("word").agg(F.sum(F.when(toxic, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("good"), F.coalesce(F.min(F.when(toxic, F.col("low"))) < F.max(F.when(toxic, F.col("high"))), F.lit(False)).alias("several"))
     table = common.cut(table.filter("bad + good >= 2"))
     total = table.agg(F.sum("bad"), F.sum("good")).first()
     share = (total[0] or 0) / max((total[0] or 0) + (total[1] or 0), 1)
     # toxic contexts that outnumber the clean ones by far, where both kinds' sizes are accounted for
     lift = F.col("bad") / (F.col("bad") + F.col("good") * share / max(1 - share, 1e-6))
-    least = max(5, 0.01 * min(sample, sizes[1]))
-    positive = {r["word"]: r["bad"] for r in table.filter((F.col("bad") >= least) & (lift >= 0.95)).orderBy(F.desc("bad"), "word").limit(POSITIVES).collect()}
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((F.col("bad") + F.col("good")) * F.lit(max(p, 1e-9))))).otherwise(0.0)
+    by_chance = F.exp(-part(F.col("bad"), share) - part(F.col("good"), 1 - share))
+    positive = {r["word"]: r["bad"] for r in table.filter((F.col("bad") >= LEAST) & F.col("several") & (lift >= 0.95) & (by_chance <= CHANCE)).orderBy(F.desc("bad"), "word").collect()}
     if not positive:
         return None
     clean = table.filter((lift <= 0.8) & (F.col("good") > 0))
@@ -212,7 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Machin
     machine = fit(positive, negative, negative[FREQUENT:])
     for _ in range(2):  # negatives that look most like positives
         near = hardest(chosen.filter("y = 0"), machine, NEGATIVES // 3)
-        near = [w for w in near if w not in positive]
+        leaning = {r["word"] for r in table.filter((lift > 0.8) & F.col("word").isin(near)).select("word").collect()}
+        near = [w for w in near if w not in positive and w not in leaning]
         machine = fit(positive, list(dict.fromkeys([*negative, *near])), near)
     rows = documents(chosen, machine).select("f", "y").orderBy("f", "y").toArrow()  # the sample
     f, y = rows.column("f").to_numpy().astype(float), rows.column("y").to_numpy()
