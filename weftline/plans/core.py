@@ -197,6 +197,21 @@ query(f"select l.* from {_LEFT} left join {_RIGHT} where c_custkey is null", "fi
 query(f"select o_orderkey, o_custkey, o_totalprice from {_LEFT} join {_RIGHT} qualify row_number() over (partition by o_custkey order by o_orderkey) = 1", "filter_once")(lambda spark, sf: keyed.filter_by(_orders(spark, sf), _customers(spark, sf), "once"))
 
 
+# the same over all orders and all customers; customers without orders miss
+_ALL = "(select o_orderkey, o_custkey, o_totalprice from orders) l"
+_ALL_RIGHT = "(select c_custkey, c_name, c_nationkey from customer) r on l.o_custkey = r.c_custkey"
+
+
+def _whole(spark, sf) -> tuple[DataFrame, keyed.Keyed]:
+    right = t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
+    return t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), keyed.map_by(right, "o_custkey")
+
+
+for _how, _kind in (("left", "left"), ("inner", "inner"), ("right", "right"), ("outer", "full")):
+    query(f"select o_orderkey, coalesce(o_custkey, c_custkey) as o_custkey, o_totalprice, c_name, c_nationkey from {_ALL} {_kind} join {_ALL_RIGHT}", f"join_{_how}_whole")(lambda spark, sf, how=_how: keyed.join(*_whole(spark, sf), how))
+query(f"select o_orderkey, o_custkey, o_totalprice from {_ALL} join {_ALL_RIGHT} qualify row_number() over (partition by o_custkey order by o_orderkey) = 1", "filter_once_whole")(lambda spark, sf: keyed.filter_by(*_whole(spark, sf), "once"))
+
+
 @query("select c_custkey, case when l <> r then l end as left_segment, case when l <> r then r end as right_segment, case when b <> c then b end as left_bal, case when b <> c then c end as right_bal from (select c_custkey, c_mktsegment as l, case when c_custkey % 5 = 0 then 'OTHER' else c_mktsegment end as r, c_acctbal as b, case when c_custkey % 7 = 0 then c_acctbal + 1 else c_acctbal end as c from customer) where l <> r or b <> c")
 def filter_diff(spark, sf):
     left = t(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
