@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -59,10 +60,34 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 out = fn(part)
                 if out is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker serves many tasks, and the next one may run beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freeing(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """`fn` of one group, and what it used given back if the group was large."""
+
+    def run(table: pa.Table) -> pa.Table:
+        large = table.nbytes > SLICE_BYTES
+        out = fn(table)
+        del table
+        if large:
+            give_back()
+        return out
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, size_col: str | None) -> Iterator[pa.RecordBatch]:
     if size_col is None or batch.num_rows == 0:
         yield batch

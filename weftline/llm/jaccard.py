@@ -3,29 +3,32 @@
 The tokens (shingles) of a document are ordered rare ones first, then frequent ones by frequency.
 If two sets have similarity t or more, fewer than floor((1 - t) |x|) + 1 tokens of either miss in
 the other. A prefix of the order thus has to share something with each partner: a rare token is a
-signature by itself; of the frequent class only combinations of `COMBINE` tokens of the same part
-(the class is dealt into `PARTS` parts by hash) are signatures, so the prefix is extended until
-its rare tokens, plus those of each part beyond the first COMBINE - 1, outnumber what may be
-missing. Sets of fewer than `SMALL` tokens use single tokens for either class; sets near that size
-use both kinds, so partners across it meet. A set too short to be extended enough does so too.
+signature by itself; of the frequent class only pairs of tokens of the same part are signatures (the
+class is dealt into parts by hash, the more the larger the set, see `schemes`), so the prefix is extended
+until its rare tokens, plus those of each part beyond the first, outnumber what may be missing. Sets of
+fewer than `SMALL` tokens use single tokens for either class; sets near that size use both kinds, so
+partners across it meet. A set too short to be extended enough does so too.
 
 Equal sets are folded into one class before anything is joined. Classes that share a signature, and
-whose sizes allow a link, are tied together without listing pairs (see `ties`); the components of
-the ties are the candidate groups, whose sets are compared exactly: blocks of about `BLOCK` sets
-against each other, skipping what is already linked and returning a spanning forest of the links.
+whose sizes allow a link, are tied together without listing pairs (see `ties`). The components of the
+ties are the candidate groups. Common phrases chain unlike sets into large ones, so a group too large for
+one block is first taken apart by sketches (see `refined`): bitmaps of a 16th to a 32nd of a set's size that bound
+the similarity from above, so no link is lost. What remains is compared exactly, in blocks of about
+`BLOCK_TOKENS` tokens that hold sets of like size, returning a spanning forest of the links. Blocks are compared with
+themselves and with a few hubs first; only sets outside the largest component of their group are then compared
+with all others, and blocks whose sizes rule a link out never meet (see `dealt` and `within`).
 Frequencies are counted over all documents (for a quarter of the tokens, by hash; these come first
 in the order); tokens of at least `FREQUENT_LEAST` documents form the frequent class, the most
 frequent `FREQUENT_TABLE` of them if there are more. Where that bound falls affects the work only,
 never the result.
 
 Nulls and texts without words have an empty set and link with nothing. Rows that share an id are
-each a row of the result. Extra columns are ignored. An empty table gives no rows.
+each a row of the result; rows without an id link like others, and a component's id is the smallest there is. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from weftline.llm import common, components, shingles
 
 U = np.uint64
-COMBINE, PARTS, SMALL, BLOCK = 2, 16, 200, 1024
+SMALL, BLOCK_TOKENS, BLOCK_BYTES, HUBS = 200, 750_000, 1_000_000, 6
 #: Up to so many members (of about 100 bytes) are sent to all tasks; beyond, texts are joined by a shuffle.
 SENT = 300_000
 HOT = 500
@@ -137,6 +140,38 @@ def frequent_tokens(docs: DataFrame, text_col: str, k: int) -> Frequent:
     return Frequent(found.column("token").to_numpy().astype(np.uint64), found.column("n").to_numpy().astype(np.int64))
 
 
+def schemes(n: int, num: int, den: int) -> list[int]:
+    """Into how many parts the frequent class is dealt for a set of n tokens: about one part for four
+    tokens that may miss, by powers of two of n. A set whose partners may lie above the next power of two
+    takes part in that scheme as well, so two partners share the scheme of the larger one."""
+    own = n.bit_length() - 1
+    bands = range(own, (n * den // num).bit_length())
+    return sorted({1 << max(4, ((den - num << j) // (4 * den)).bit_length()) for j in bands})
+
+
+def paired(often: np.ndarray, parts: int, need: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(first and second tokens of the pairs within a part) of the shortest prefix of `often` in which the
+    tokens beyond the first of each part number `need`; and whether there is such a prefix."""
+    part = (often >> U(7)) % U(parts)
+    by_part = np.argsort(part, kind="stable")
+    first = np.ones(len(often), bool)
+    first[by_part[1:]] = part[by_part[1:]] != part[by_part[:-1]]
+    beyond = np.cumsum(~first)
+    enough = len(often) > 0 and int(beyond[-1]) >= need
+    if enough:
+        often, part = (x[: int(np.searchsorted(beyond, need)) + 1] for x in (often, part))
+    order = np.lexsort((often, part))
+    often, part = often[order], part[order]
+    one, two = [often[:0]], [often[:0]]
+    for d in range(1, len(often)):
+        same = part[:-d] == part[d:]
+        if not same.any():
+            break
+        one.append(often[:-d][same])
+        two.append(often[d:][same])
+    return np.concatenate(one), np.concatenate(two), enough
+
+
 def signatures(x: np.ndarray, heavy: Frequent, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The signatures of one sorted set, as distinct 64-bit hashes: (those that few sets can share,
     those whose tokens all are in at least HOT sets)."""
@@ -146,42 +181,69 @@ def signatures(x: np.ndarray, heavy: Frequent, num: int, den: int) -> tuple[np.n
     rare, often = x[~frequent], x[frequent]
     by_count = np.lexsort((often, count[frequent]))
     often, often_count = often[by_count], count[frequent][by_count]
-    ordered = np.concatenate((rare, often))
-    singles = ordered[: slack + 1]
-    hot_token = set(often[often_count >= HOT].tolist())  # those not counted may be hot
+    singles = np.concatenate((rare, often))[: slack + 1]
+    hot_tokens = np.sort(often[often_count >= HOT])  # those not counted may be hot
     cold, hot = [x[:0]], [x[:0]]
 
-    def put(singles: np.ndarray) -> None:
-        warm = np.array([int(t) in hot_token for t in singles], bool)
-        cold.append(singles[~warm])
-        hot.append(singles[warm])
+    def put(found: np.ndarray, warm: np.ndarray) -> None:
+        cold.append(found[~warm])
+        hot.append(found[warm])
+
+    def is_hot(tokens: np.ndarray) -> np.ndarray:
+        return np.isin(tokens, hot_tokens, assume_unique=False) if len(hot_tokens) else np.zeros(len(tokens), bool)
 
     if n < -(-SMALL * den // num):
-        put(singles)
+        put(singles, is_hot(singles))
     if n >= SMALL * num // den:
         need = slack + 1 - len(rare)
         cold.append(rare[: slack + 1])
         if need > 0:
-            parts: dict[int, list[int]] = {}
-            for token in often.tolist():
-                part = parts.setdefault((token >> 7) % PARTS, [])
-                part.append(token)
-                need -= len(part) >= COMBINE
-                if need <= 0:
-                    break
-            combos = [p for part in parts.values() for p in combinations(sorted(part), COMBINE)]
-            h = np.full(len(combos), 0xC0FFEE, np.uint64)
-            tokens_of = np.array(combos, np.uint64).reshape(-1, COMBINE)
-            for j in range(COMBINE):
-                h = common.mix64(h * U(0x9E3779B97F4A7C15) + tokens_of[:, j])
-            warm = np.array([hot_token.issuperset(p) for p in combos], bool)
-            cold.append(h[~warm])
-            hot.append(h[warm])
-            if need > 0:  # too short to be extended enough: single tokens as well
-                put(singles)
+            for parts in schemes(n, num, den):
+                one, two, enough = paired(often, parts, need)
+                h = common.mix64(one * U(0x9E3779B97F4A7C15) + common.mix64(np.full(1, parts, np.uint64)))
+                put(common.mix64(h * U(0x9E3779B97F4A7C15) + two), is_hot(one) & is_hot(two))
+                if not enough:  # too short to be extended enough: single tokens as well
+                    put(singles, is_hot(singles))
     return np.unique(np.concatenate(cold)), np.unique(np.concatenate(hot))
 
 
+def sketch(x: np.ndarray) -> np.ndarray:
+    """A bitmap over bins by the first bits of the tokens' hashes, 2 to 4 bins a token: whether a bin has an odd
+    number of tokens."""
+    bits = max(6, (2 * len(x) - 1).bit_length())
+    return np.packbits((np.bincount((x >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def likely(sketches: list[np.ndarray], sizes: np.ndarray, left: int, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches allow a link. Sets differ in at least as many tokens as their
+    bitmaps do in bits, and linked ones in at most (1 - t) / (1 + t) of both sizes. If left is not 0, only pairs
+    between the first `left` and the rest count."""
+    m = len(sketches)
+    order = np.argsort(sizes, kind="stable")
+    sizes, first = sizes[order].astype(np.int64), order < left
+    words = min(len(x) for x in sketches) // 8
+    table = np.zeros((m, words), np.uint64)
+    for row, i in enumerate(order):
+        bits = np.unpackbits(sketches[i], bitorder="little").reshape(words * 64, -1)  # bins of a larger set are put together
+        table[row] = np.packbits(np.bitwise_xor.reduce(bits, axis=1), bitorder="little").view(np.uint64)
+    label = np.arange(m)
+    ends = np.searchsorted(sizes * num, sizes * den, "right")
+    edges = []
+    for i in range(m - 1):
+        near = i + 1 + np.flatnonzero(label[i + 1 : ends[i]] != label[i])
+        if left:
+            near = near[first[near] != first[i]]
+        for to in dict.fromkeys((min(words, 16), words)):  # a part of the bitmap rules most out
+            if len(near):
+                differ = np.bitwise_count(table[near, :to] ^ table[i, :to]).sum(1, dtype=np.int64)
+                near = near[differ * (den + num) <= (den - num) * (sizes[near] + sizes[i])]
+        for j in near.tolist():
+            if label[j] != label[i]:
+                edges.append((int(order[i]), int(order[j])))
+                label[label == label[j]] = label[i]
+    return edges
+
+
 def forest(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among `sets`: all of them if left is 0, else also between the
     first `left` and the rest (pairs within either side are then left to their own block)."""
@@ -275,9 +337,9 @@ def forest(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[
 
 
 def classes(docs: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, n_shingles, set_key, component), where component is the smallest
-    doc_id that links reach, itself included."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """One row per document: (doc_id, text_key, n_shingles, set_key, component), where component is the
+    smallest doc_id that links reach, itself included, and text_key a hash of the text."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     heavy = frequent_tokens(docs, "text", k)
 
     def sign(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -289,20 +351,22 @@ def classes(docs: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_i
         for side in (0, 1):
             cuts = np.concatenate(([0], np.cumsum([len(x[side]) for x in signed])))
             lists.append(common.list_rows(np.concatenate([x[side] for x in signed]).view(np.int64), cuts))
-        return common.batch_of({"doc_id": (part.column(0), None), "n_shingles": (np.diff(at), pa.int64()), "set_key": (keys, pa.binary()), "key": ([x and int.from_bytes(x[:8], "little", signed=True) for x in keys], pa.int64()), "cold": (lists[0], None), "hot": (lists[1], None)})
+        bodies = [sketch(x).tobytes() if len(x) else None for x in sets]
+        return common.batch_of({"doc_id": (part.column(0), None), "text_key": (part.column(2), None), "n_shingles": (np.diff(at), pa.int64()), "set_key": (keys, pa.binary()), "key": ([x and int.from_bytes(x[:8], "little", signed=True) for x in keys], pa.int64()), "sketch": (bodies, pa.binary()), "cold": (lists[0], None), "hot": (lists[1], None)})
 
-    signed = common.cut(common.map_rows(docs, sign, "doc_id long, n_shingles long, set_key binary, key long, cold array<long>, hot array<long>"))
-    sets = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.min("n_shingles").alias("n"), F.first("cold").alias("cold"), F.first("hot").alias("hot"))
+    signed = common.cut(common.map_rows(docs, sign, "doc_id long, text_key long, n_shingles long, set_key binary, key long, sketch binary, cold array<long>, hot array<long>"))
+    one_of = {c: F.first(c).alias(c) for c in ("sketch", "cold", "hot")}
+    sets = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("rep_text"), F.min("key").alias("key"), F.min("n_shingles").alias("n"), *one_of.values())
     sets = common.cut(sets)
     groups = components.connected(ties(sets, num, den))
-    members = common.cut(sets.select("set_key", "rep", "key").join(groups, F.col("key") == F.col("node")).select("set_key", "rep", F.col("component").alias("grp")))
-    edges = verified(docs, members, k, num, den)
+    members = common.cut(sets.join(groups, F.col("key") == F.col("node")).select("set_key", "rep", "rep_text", "n", "sketch", F.col("component").alias("grp")))
+    edges = verified(docs, refined(members, num, den), k, num, den)
     linked = components.connected(edges)
     reps = sets.select("set_key", "rep")
     lowest = linked.join(reps, F.col("node") == F.col("set_key")).groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("lowest"))
     at = linked.join(lowest, F.col("component") == F.col("c")).select(F.col("node").alias("set_key"), "lowest")
     at = reps.join(at, "set_key", "left").select(F.col("set_key").alias("k"), F.coalesce("lowest", "rep").alias("component"))
-    return signed.select("doc_id", "n_shingles", "set_key").join(at, F.col("set_key") == F.col("k"), "left").select("doc_id", "n_shingles", "set_key", F.coalesce("component", "doc_id").alias("component"))
+    return signed.select("doc_id", "text_key", "n_shingles", "set_key").join(at, F.col("set_key") == F.col("k"), "left").select("doc_id", "text_key", "n_shingles", "set_key", F.coalesce("component", "doc_id").alias("component"))
 
 
 def ties(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -329,38 +393,110 @@ def ties(sets: DataFrame, num: int, den: int) -> DataFrame:
     return chained.union(steps).union(stars)
 
 
+def dealt(members: DataFrame, weight: str, most: int, num: int, den: int) -> DataFrame:
+    """`members` (grp, n, set_key, ...) with (block, pairs): the block of each set, and the pairs of blocks (a, b)
+    in which it is to be compared. A group of weight `most` or less is one block. Of others, sets of like size
+    share a band, within which all may link, and are dealt into blocks by their key; a block is compared with itself
+    and with `HUBS` sets of its own and the next bands. With a column `settled`, only groups of more weight than
+    `most` are dealt, and blocks meet those of their own and the next bands unless both are of settled sets."""
+    # a little wider than the ratio, so that two partners are never two bands apart
+    again = "settled" in members.columns
+    band = 2 * F.floor(F.log("n") / (1.001 * math.log(den / num))).cast("long")
+    members = members.withColumn("band", band + F.col("settled").cast("long") if again else band)
+    hubs = [F.min_by("set_key", F.xxhash64("set_key", F.lit(i))).alias(f"hub{i}") for i in range(HUBS)]
+    bands = members.groupBy("grp", "band").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("m"), *hubs)
+    of_band = F.struct("band", F.struct(F.ceil(F.col("w") / most).alias("blocks"), F.array(*[f"hub{i}" for i in range(HUBS)]).alias("hubs")))
+    sizes = bands.groupBy("grp").agg(F.sum("w").alias("w"), F.sum("m").alias("m"), F.map_from_entries(F.collect_list(of_band)).alias("bands"))
+    out = members.join(sizes.filter(F.col("w") > most if again else F.col("m") > 1), "grp")
+    one = (F.col("w") <= most) & F.lit(not again)
+    out = out.withColumn("block", F.when(one, F.lit(0).cast("long")).otherwise(F.shiftleft("band", 32) + F.pmod(F.hash("set_key"), F.col("bands")[F.col("band")]["blocks"])))
+    near = "transform(filter(map_entries(bands), e -> {}), e -> transform(sequence(0L, e.value.blocks - 1), p -> shiftleft(e.key, 32) + p))"
+    if again:
+        others = F.expr(f"flatten({near.format('abs(shiftright(e.key, 1) - shiftright(band, 1)) <= 1 and (e.key & band & 1) = 0')})")
+        pairs = F.transform(others, lambda x: F.struct(F.least("block", x).alias("a"), F.greatest("block", x).alias("b")))
+    else:
+        visited = F.when(F.array_contains(F.col("bands")[F.col("band")]["hubs"], F.col("set_key")), F.expr(f"flatten({near.format('abs(e.key - band) <= 2')})")).otherwise(F.array("block"))
+        pairs = F.transform(F.when(one, F.array("block")).otherwise(visited), lambda x: F.struct(x.alias("a"), x.alias("b")))
+    return out.withColumn("pairs", pairs).drop("band", "bands", "w", "m", "settled")
+
+
+def within(members: DataFrame, weight: str, most: int, num: int, den: int, compared) -> DataFrame:
+    """The edges (u, v) that `compared` finds between the sets of each group: first within blocks and with a few hubs,
+    which settles copies of one text; then the sets outside the largest component of a large group, with all of it."""
+    edges = common.cut(compared(dealt(members, weight, most, num, den)))
+    large = members.groupBy("grp").agg(F.sum(weight).alias("w")).filter(F.col("w") > most).select("grp")
+    if not large.take(1):
+        return edges
+    own = members.join(large, "grp")
+    found = own.select("grp", "set_key").join(components.connected(edges), F.col("set_key") == F.col("node"))
+    sizes = found.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy(F.col("grp").alias("g")).agg(F.max_by("component", F.struct("m", "component")).alias("c"))
+    settled = common.cut(found.join(largest, (F.col("grp") == F.col("g")) & (F.col("component") == F.col("c"))).select(F.col("set_key").alias("k")))
+    rest = own.join(settled, F.col("set_key") == F.col("k"), "left").withColumn("settled", F.col("k").isNotNull()).drop("k")
+    return edges.union(compared(dealt(rest, weight, most, num, den)))
+
+
+def refined(members: DataFrame, num: int, den: int) -> DataFrame:
+    """`members` without their sketches, groups that are too large for one block taken apart: two sets stay together
+    only if sketches allow a link between them, directly or over others."""
+    sizes = members.groupBy("grp").agg(F.sum("n").alias("w")).select(F.col("grp").alias("g"), (F.col("w") > BLOCK_TOKENS).alias("large"))
+    members = members.join(sizes, F.col("grp") == F.col("g")).drop("g")
+    large = members.filter("large").select("grp", "n", "set_key", "sketch", F.length("sketch").alias("bytes"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        keys, sides, sketches = (table.column(c).to_pylist() for c in ("set_key", "block", "sketch"))
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        order = sorted(range(len(keys)), key=lambda i: (sides[i], keys[i]))
+        left = sum(x == a for x in sides) if a != b else 0
+        edges = likely([np.frombuffer(sketches[i], np.uint8) for i in order], table.column("n").to_numpy()[order], left, num, den)
+        return pa.table({"u": pa.array([keys[order[i]] for i, _ in edges], pa.binary()), "v": pa.array([keys[order[j]] for _, j in edges], pa.binary())})
+
+    def compared(dealt_out: DataFrame) -> DataFrame:
+        rows = dealt_out.select("grp", F.explode("pairs").alias("p"), "block", "n", "set_key", "sketch").select("grp", "p.a", "p.b", "block", "n", "set_key", "sketch")
+        return rows.groupBy("grp", "a", "b").applyInArrow(common.freeing(compare), "u binary, v binary")
+
+    found = components.connected(within(large, "bytes", BLOCK_BYTES, num, den, compared))
+    found = found.select("node", F.xxhash64("component").alias("part"))
+    out = members.join(found, F.col("set_key") == F.col("node"), "left")
+    # a set of a large group without a likely partner is done with
+    return common.cut(out.filter("not large or node is not null").select("set_key", "rep", "rep_text", "n", F.when(F.col("large"), F.col("part")).otherwise(F.col("grp")).alias("grp")))
+
+
 def verified(docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The links (u, v) within candidate groups, a spanning forest of each pair of blocks."""
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    # a group of up to BLOCK sets is one block; others are dealt into blocks by their key
-    dealt = members.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("set_key"), F.col("blocks")))
-    dealt = dealt.select("set_key", "rep", "grp", "block", "blocks")
-    texts = docs.join(F.broadcast(dealt) if members.count() <= SENT else dealt, F.col("doc_id") == F.col("rep")).select("text", "set_key", "grp", "block", "blocks")
+    few = members.count() <= SENT
+    # rows without an id are told apart by their text, and equal ones of them folded
+    named = docs.filter("doc_id is not null").select("doc_id", "text", "text_key")
+    nameless = docs.filter("doc_id is null and text is not null").groupBy("text_key").agg(F.first("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", "text_key")
 
     def resolve(part: pa.RecordBatch) -> pa.RecordBatch:
         values, at = shingles.shingle_sets(part.column(0), k)
         wanted = part.column(1).to_pylist()
-        good = [i for i in range(part.num_rows) if at[i + 1] > at[i] and shingles.set_key(values[at[i] : at[i + 1]]) == wanted[i]]  # an id may have other texts too
+        good = [i for i in range(part.num_rows) if at[i + 1] > at[i] and shingles.set_key(values[at[i] : at[i + 1]]) == wanted[i]]
         out = part.take(pa.array(good, pa.int64()))
         body = pa.array([values[at[i] : at[i + 1]].tobytes() for i in good], pa.binary())
-        return pa.RecordBatch.from_arrays([*[out.column(i) for i in range(1, 5)], body], names=["set_key", "grp", "block", "blocks", "body"])
-
-    sets = common.map_rows(texts, resolve, "set_key binary, grp long, block int, blocks int, body binary")
-    # every unordered pair of blocks, own ones included, is a task's group: (block, other) for each other
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "set_key", "body"
-    )
+        return pa.RecordBatch.from_arrays([*[out.column(i) for i in range(1, 5)], body], names=["set_key", "grp", "block", "pairs", "body"])
 
     def compare(table: pa.Table) -> pa.Table:
-        keys, sides, bodies = table.column("set_key").to_pylist(), table.column("block").to_pylist(), table.column("body").to_pylist()
+        keys, sides = table.column("set_key").to_pylist(), table.column("block").to_pylist()
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        seen: dict[bytes, tuple[int, bytes]] = {k: (s, x) for k, s, x in zip(keys, sides, bodies, strict=True)}
-        order = sorted(seen, key=lambda k: (seen[k][0], k))
-        left = sum(seen[k][0] == a for k in order) if a != b else 0
-        edges = forest([np.frombuffer(seen[k][1], np.uint64) for k in order], left, num, den)
-        return pa.table({"u": pa.array([order[i] for i, _ in edges], pa.binary()), "v": pa.array([order[j] for _, j in edges], pa.binary())})
-
-    return pairs.groupBy("grp", "a", "b").applyInArrow(compare, "u binary, v binary")
+        body, at = common.raw(table.column("body").combine_chunks())
+        del table
+        one = {k: i for i, k in enumerate(keys)}  # repeated rows of the table bring a set more than once
+        order = sorted(one.values(), key=lambda i: (sides[i], keys[i]))
+        left = sum(sides[i] == a for i in order) if a != b else 0
+        edges = forest([body[at[i] : at[i + 1]].view(np.uint64) for i in order], left, num, den)
+        return pa.table({"u": pa.array([keys[order[i]] for i, _ in edges], pa.binary()), "v": pa.array([keys[order[j]] for _, j in edges], pa.binary())})
+
+    def compared(sets: DataFrame) -> DataFrame:
+        where = lambda x: x["doc_id"].eqNullSafe(F.col("rep")) & (x["text_key"] == F.col("rep_text"))
+        own = named.join(F.broadcast(sets) if few else sets, where(named))
+        texts = own.union(nameless.join(sets.filter("rep is null"), where(nameless)).select(own.columns)).select("text", "set_key", "grp", "block", "pairs")
+        bodies = common.map_rows(texts, resolve, "set_key binary, grp long, block long, pairs array<struct<a: bigint, b: bigint>>, body binary")
+        rows = bodies.select("grp", F.explode("pairs").alias("p"), "block", "set_key", "body").select("grp", "p.a", "p.b", "block", "set_key", "body")
+        return rows.groupBy("grp", "a", "b").applyInArrow(common.freeing(compare), "u binary, v binary")
+
+    return within(members, "n", BLOCK_TOKENS, num, den, compared)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
