@@ -337,8 +337,9 @@ def forest(sets: list[np.ndarray], left: int, num: int, den: int) -> list[tuple[
 
 
 def classes(docs: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, text_key, n_shingles, set_key, component), where component is the
-    smallest doc_id that links reach, itself included, and text_key a hash of the text."""
+    """One row per document: (doc_id, text_key, n_shingles, class_key, component), where component is the
+    smallest doc_id that links reach, itself included, class_key stands for the class that they reach (null without
+    words; ids may repeat) and text_key for the text."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     heavy = frequent_tokens(docs, "text", k)
 
@@ -364,9 +365,28 @@ def classes(docs: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_i
     linked = components.connected(edges)
     reps = sets.select("set_key", "rep")
     lowest = linked.join(reps, F.col("node") == F.col("set_key")).groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("lowest"))
-    at = linked.join(lowest, F.col("component") == F.col("c")).select(F.col("node").alias("set_key"), "lowest")
-    at = reps.join(at, "set_key", "left").select(F.col("set_key").alias("k"), F.coalesce("lowest", "rep").alias("component"))
-    return signed.select("doc_id", "text_key", "n_shingles", "set_key").join(at, F.col("set_key") == F.col("k"), "left").select("doc_id", "text_key", "n_shingles", "set_key", F.coalesce("component", "doc_id").alias("component"))
+    at = linked.join(lowest, F.col("component") == F.col("c")).select(F.col("node").alias("set_key"), "c", "lowest")
+    at = reps.join(at, "set_key", "left").select(F.col("set_key").alias("k"), F.coalesce("c", "set_key").alias("class_key"), F.coalesce("lowest", "rep").alias("component"))
+    return signed.select("doc_id", "text_key", "n_shingles", "set_key").join(at, F.col("set_key") == F.col("k"), "left").select("doc_id", "text_key", "n_shingles", "class_key", F.coalesce("component", "doc_id").alias("component"))
+
+
+def deduplicated(docs: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` of which one of each component stays: the one of the smallest id (rows without an id come
+    last), of the smallest text hash among those. Rows alike in id and text are one. Rows without words all stay."""
+    own = "_text_key"
+    found = common.cut(classes(docs, k=k, num=num, den=den, id_col=id_col, text_col=text_col))
+    rows = found.filter("class_key is not null").groupBy(F.col("class_key").alias("grp"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("m"))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+    best = rows.groupBy(F.col("grp").alias("g")).agg(F.min(first).alias("best"))
+    rows = common.cut(rows.join(best, F.col("grp") == F.col("g")).select("doc_id", "text_key", "m", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("stays")))
+    marked = docs.withColumn(own, F.xxhash64(text_col))
+    same = lambda x: marked[id_col].cast("long").eqNullSafe(x["doc_id"]) & (marked[own] == x["text_key"])
+    gone = rows.filter("not stays").select("doc_id", "text_key")
+    out = marked.join(F.broadcast(gone) if gone.count() <= SENT else gone, same(gone), "left_anti")
+    again = rows.filter("stays and m > 1").select("doc_id", "text_key")
+    if again.take(1):
+        out = out.join(again, same(again), "left_anti").union(out.join(again, same(again), "left_semi").dropDuplicates([id_col, own]))
+    return out.select(docs.columns)
 
 
 def ties(sets: DataFrame, num: int, den: int) -> DataFrame:

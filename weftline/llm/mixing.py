@@ -11,7 +11,7 @@ straddles the end is taken if at least half of it fits). Blocks keep a hot sourc
 tasks, and no task orders a whole source.
 
 Tokens are white-space words. A null source is a source of its own. Documents without words cost
-nothing; sources without words are left out. Rows that share an id share a block; equal rows are
+nothing; sources without words are left out, but where all documents stay (`cover`), once each. Rows that share an id share a block; equal rows are
 each scheduled. An empty table gives no rows. Of extra columns only those named in `carry` stay.
 """
 
@@ -84,7 +84,9 @@ def mix(docs: DataFrame, *, budget_tokens: int | None = None, cover: bool = Fals
     keys = {"id": id_col, "source": source_col}
     extra = [F.col(c).alias(f"x_{i}") for i, c in enumerate(carry)]
     d = docs.select(*[F.col(v).alias(f"m_{k}") for k, v in keys.items()], words(F.col(text_col)).alias("m_tokens"), *extra)
-    sources = common.cut(d.groupBy("m_source").agg(F.sum("m_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).filter("tokens > 0"))
+    sources = common.cut(d.groupBy("m_source").agg(F.sum("m_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")))
+    wordless = sources.filter("tokens = 0").select("m_source")
+    sources = sources.filter("tokens > 0")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     budget = float(budget_tokens or total)
     n = sources.count()
@@ -94,7 +96,7 @@ def mix(docs: DataFrame, *, budget_tokens: int | None = None, cover: bool = Fals
         a = exponent_cover(sources, max_repeat) if n > 1 else 1.0
     else:
         a = exponent(sources, budget, target, max_repeat) if n else 1.0
-    top = float(sources.agg(F.max("tokens")).first()[0] or 1)
+    top = float(sources.agg(F.max("tokens")).first()[0] or 1)  # sources: a row a source
     z = F.pow(F.col("tokens") / F.lit(top), F.lit(a))
     z_sum = sources.agg(F.sum(z)).first()[0] or 1.0
     epochs = F.pow(F.col("tokens") / F.lit(top), F.lit(a - 1.0)) if cover else z / F.lit(z_sum) * F.lit(budget) / F.col("tokens")
@@ -103,6 +105,8 @@ def mix(docs: DataFrame, *, budget_tokens: int | None = None, cover: bool = Fals
         F.least(epochs, F.lit(float(max(max_repeat, 1.0)))).alias("p_epochs"),
         F.ceil(F.col("docs") / F.lit(block_docs)).cast("long").alias("p_blocks"),
     )
+    if cover:  # sources without words cost nothing: one epoch of each
+        plan = plan.union(wordless.select("m_source", F.lit(1.0), F.lit(1).cast("long")))
     key = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("m_id").cast("string"), F.lit("")))
     number = lambda tag: F.conv(F.substring(F.md5(F.concat(F.lit(tag), key).cast("binary")), 1, 15), 16, 10).cast("long")
     d = d.join(plan, F.col("m_source").eqNullSafe(F.col("p_source"))).withColumns({"m_block": number("b|") % F.col("p_blocks"), "m_order": number("o|")})
