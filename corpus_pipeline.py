@@ -9,6 +9,12 @@
 5. sentencepiece: every row's text becomes piece ids, with a check of the round trip.
 
 All but the last return the columns of `documents`. Extra columns of the input are dropped.
+
+Rows are decided on one by one, also where ids repeat or are null: of rows alike in id and text one stays, of
+rows that share an id but not their text each is a document. Texts are read whole, whatever their length. Null
+and empty texts have no quality but the prior, no shingles, spans or tokens; they stay in each stage that is not
+asked to judge them (quality keeps them if the prior reaches its threshold) and get no ids. Ties go to the smaller id.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +25,6 @@ from pyspark.sql import functions as F
 from weftline.llm import common, jaccard, mixing, pieces, pii, quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Up to so many ids are sent to all tasks; beyond, they are joined by a shuffle.
-SENT = 500_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.classes(docs, k=5, num=80, den=100)
-    gone = common.cut(found.filter("doc_id <> component").select("doc_id"))
-    return docs.join(F.broadcast(gone) if gone.count() <= SENT else gone, "doc_id", "left_anti").select(COLUMNS)
+    return jaccard.deduplicated(docs.select(COLUMNS), k=5, num=80, den=100)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +64,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))  # else each stage would run all those before it again and again
+    return STAGES[-1][1](spark, docs, sf_dir)
