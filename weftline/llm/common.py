@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are taken in slices of about so many bytes (a longer text is a slice of its own).
 SLICE_BYTES = 1_000_000
+#: Spark hands batches of at most about so many bytes to a Python worker; by itself it counts rows only.
+BATCH_BYTES = "4m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 HELD_OUT_REMAINDER, FOLDS = 2, 4
 
 
@@ -52,7 +55,11 @@ def held_out(id_col: str):
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size_col: str | None = "text") -> DataFrame:
-    """`fn` over slices of bounded bytes of Arrow batches; rows keep their order."""
+    """`fn` over slices of bounded bytes of Arrow batches; rows keep their order.
+
+    Sets the session's bound on the bytes of an Arrow batch.
+    """
+    df.sparkSession.conf.set(_BATCH_CONF, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -329,8 +329,10 @@ class Pieces:
             if ids is None:
                 out.append(None)
                 continue
+            if None in ids or (ids and not 0 <= min(ids) <= max(ids) < len(text_of)):  # no piece has such an id
+                ids = [i if i is not None and 0 <= i < len(text_of) else -1 for i in ids]
             if byte_of.keys().isdisjoint(ids):
-                text = "".join([text_of[i] for i in ids]).replace(MARK, " ")
+                text = "".join([text_of[i] if i >= 0 else "\ufffd" for i in ids]).replace(MARK, " ")
             else:
                 parts, run = [], bytearray()
                 for i in ids:
@@ -341,7 +343,7 @@ class Pieces:
                     if run:
                         parts.append(run.decode("utf-8", "replace"))
                         run = bytearray()
-                    parts.append(text_of[i].replace(MARK, " "))
+                    parts.append(text_of[i].replace(MARK, " ") if i >= 0 else "\ufffd")
                 if run:
                     parts.append(run.decode("utf-8", "replace"))
                 text = "".join(parts)
@@ -362,8 +364,8 @@ def _uncollected():
 
 
 _READY: dict[bytes, Pieces] = {}
-#: Units remembered by a worker.
-REMEMBERED = 150_000
+#: Units remembered by a task.
+REMEMBERED = 100_000
 
 
 def ready(data: bytes) -> Pieces:
@@ -372,50 +374,66 @@ def ready(data: bytes) -> Pieces:
     return _READY[data]
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*[f for f in df.schema.fields if f.name != name], T.StructField(name, kind)])
+def _encoded(texts: pa.Array, model: bytes, cache: dict[str, list[int]]) -> pa.Array:
+    if len(cache) > REMEMBERED:
+        cache.clear()
+    ids = ready(model).encode(texts.to_pylist(), cache)
+    at = np.concatenate(([0], np.cumsum([len(row or ()) for row in ids])))
+    flat = np.fromiter(chain.from_iterable(filter(None, ids)), np.int32, int(at[-1]))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat), mask=pa.array([row is None for row in ids]))
 
 
-def encode(df: DataFrame, model: bytes, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """`df` with the piece ids of `text_col`; `model` is the content of a model file (below 1 MB)."""
-    schema = _with_column(df, ids_col, T.ArrayType(T.IntegerType()))
-    cache: dict[str, list[int]] = {}
+def _decoded(ids: pa.Array, model: bytes) -> pa.Array:
+    flat, at = ids.flatten().to_pylist(), ids.offsets.to_numpy()
+    valid = ids.is_valid().to_pylist()
+    # what flatten leaves out of null rows has no place in the offsets
+    size = np.where(valid, np.diff(at), 0)
+    end = np.cumsum(size).tolist()
+    return pa.array(ready(model).decode([flat[e - n : e] if v else None for v, e, n in zip(valid, end, size.tolist(), strict=True)]), pa.string())
+
+
+def _mapped(df: DataFrame, made: dict[str, T.DataType], size_col: str, fn) -> DataFrame:
+    """`df` with the columns that `fn` makes of slices of it."""
+    schema = df.schema
+    for name, kind in made.items():
+        schema = T.StructType([*[f for f in schema.fields if f.name != name], T.StructField(name, kind)])
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        if len(cache) > REMEMBERED:
-            cache.clear()
         with _uncollected():
-            ids = ready(model).encode(part.column(part.schema.get_field_index(text_col)).to_pylist(), cache)
-        at = np.concatenate(([0], np.cumsum([len(row or ()) for row in ids])))
-        flat = np.fromiter(chain.from_iterable(filter(None, ids)), np.int32, int(at[-1]))
-        mask = pa.array([row is None for row in ids])
-        column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat), mask=mask)
-        keep = [f.name for f in schema.fields if f.name != ids_col]
-        return pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in keep], column], names=[*keep, ids_col])
+            out = fn(lambda name: part.column(part.schema.get_field_index(name)))
+        return pa.RecordBatch.from_arrays([out[f.name] if f.name in out else part.column(part.schema.get_field_index(f.name)) for f in schema.fields], names=schema.names)
 
-    return common.map_rows(df, run, schema, text_col)
+    return common.map_rows(df, run, schema, size_col)
+
+
+_IDS = T.ArrayType(T.IntegerType())
+
+
+def encode(df: DataFrame, model: bytes, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """`df` with the piece ids of `text_col`; `model` is the content of a model file (below 1 MB)."""
+    cache: dict[str, list[int]] = {}
+    return _mapped(df, {ids_col: _IDS}, text_col, lambda col: {ids_col: _encoded(col(text_col), model, cache)})
 
 
 def decode(df: DataFrame, model: bytes, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """`df` with the text of `ids_col`."""
-    schema = _with_column(df, text_col, T.StringType())
+    """`df` with the text of `ids_col`. Ids that the model lacks, and nulls in a list, decode as U+FFFD."""
+    return _mapped(df, {text_col: T.StringType()}, ids_col, lambda col: {text_col: _decoded(col(ids_col), model)})
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = part.column(part.schema.get_field_index(ids_col))
-        flat, at = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy()
-        at = (at - at[0]).tolist()
-        rows = [None if v is False else flat[a:b] for v, a, b in zip(ids.is_valid().to_pylist(), at[:-1], at[1:], strict=True)]
-        keep = [f.name for f in schema.fields if f.name != text_col]
-        with _uncollected():
-            texts = ready(model).decode(rows)
-        return pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in keep], pa.array(texts, pa.string())], names=[*keep, text_col])
 
-    return common.map_rows(df, run, schema, ids_col)
+def recode(df: DataFrame, model: bytes, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """`df` with the piece ids of `text_col` and with the text that these decode to, in one pass."""
+    cache: dict[str, list[int]] = {}
+
+    def both(col) -> dict[str, pa.Array]:
+        ids = _encoded(col(text_col), model, cache)
+        return {ids_col: ids, decoded_col: _decoded(ids, model)}
+
+    return _mapped(df, {ids_col: _IDS, decoded_col: T.StringType()}, text_col, both)
 
 
 def tokenized(docs: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, n_tokens, n_bytes, ids, round_trip) of every document."""
-    coded = decode(encode(docs.select("doc_id", "text"), model), model)
+    coded = recode(docs.select("doc_id", "text"), model)
     first, last = min(ready(model).byte_of, default=0), max(ready(model).byte_of, default=-1)
     return coded.select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.size(F.filter("ids", lambda x: x.between(first, last))), F.lit(0)).cast("long").alias("n_byte_tokens"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip")
