@@ -1,28 +1,30 @@
 """Toxicity by a support vector machine on a subsequence string kernel with Nystroem landmarks.
 
-Kernel. A word is described by its subsequences of three characters, each weighing decay ** span,
-so that a gap or an inserted character weakens a match without breaking it. Characters that stand in for
-letters (0 for o, $ for s) count as those; letters spelt out one by one ("i d i o t") count as a word
-as well. Words of more than `WIDE` characters are read through windows of that width, `STRIDE` apart. The kernel is
-divided by the norm that a word of that length has if no subsequence repeats.
-
-Training. Sentences of labelled documents (folds 0, 1 and 3 of crc32(doc_id as text) mod 4; a
-sample of about `SAMPLE` documents of each label, drawn by hash) are bags of words. All words of at
-least `LEAST` different contexts in toxic sentences of two texts or more are positive examples, if at
-least 95 % of their contexts would be toxic were both kinds of sentences as frequent, and if that
-happens by chance (Chernoff's bound) with a probability of `CHANCE` at most; neither depends on the
-size of the tables. So are copies of them with one character inserted or a gap; words of clean
-sentences are the negatives, in a second round also those that the first machine scored highest and
-that don't lean to toxic sentences; words in between are not trained on.
-Landmarks are positive words, at most `LANDMARKS`, each the one worst covered by those before it
-(pivoted Cholesky decomposition), and the most similar and most frequent negatives. A linear
-machine on the Nystroem features is fitted by sub-gradient steps on the hinge loss. As it is linear in
+Kernel. A window of a sentence is a word with a sign for its start, described by its subsequences of three
+characters, each weighing decay ** span, so that a gap or an inserted character weakens a match without breaking
+it. Characters that stand in for letters (0 for o, $ for s) count as those; letters spelt out one by one
+("i d i o t") count as a word as well. Words of more than `WIDE` characters are read through windows of that width,
+`STRIDE` apart. The kernel is divided by the norm that a window of that length has if no subsequence repeats.
+
+Training is multiple-instance: a toxic document has some toxic sentence, and that some toxic window; all windows
+of clean documents' sentences are clean. Labelled documents (folds 0, 1 and 3 of crc32(doc_id as text) mod 4; a
+sample of about `SAMPLE` documents of each label, drawn by hash) are split into sentences. The witnesses,
+positive examples, are all windows of at least `LEAST` different contexts in toxic sentences of two texts or
+more, if at least `LIFT` of their contexts would be toxic were both kinds of sentences as frequent, and if
+that happens by chance (Chernoff's bound) with a probability of `CHANCE` at most; none of this depends on the size of
+the tables, and there is no bound on their number. So are copies of them with one character inserted. Negative examples
+are windows of clean sentences: the `NEGATIVES` most frequent, and in two more rounds the third as many of all
+that the machine before valued highest and that don't lean to toxic sentences; windows in between are not
+trained on. All witnesses weigh alike. Landmarks are witnesses, at most `LANDMARKS`, each the one worst covered by
+those before it (pivoted Cholesky decomposition), and the most similar and most frequent negatives. A linear
+machine on the Nystroem features is fitted to the squared hinge loss by dual coordinate descent. As it is linear in
 the kernel, and the kernel in the subsequences, it is then folded into one weight a subsequence.
 
-Scoring. A document's value is the log-sum-exp of its words' values (an occurrence counts, at most 8
-of a word), and its score a logistic curve of it that passes 0.3 where the training documents' F1 is best. A document without words, or null, scores 0; so does
-everything if no word can be learned. Repeated rows score alike; extra columns are ignored; an
-empty table gives no rows. Labels, language, source and id are no inputs of a score.
+Scoring. A document's value adds up what its windows' values exceed `MARGIN` by, softly (an occurrence counts, at
+most 8 of a word), and its score is a logistic curve of it that passes 0.3 where the training documents' F1 is best;
+predicted follows from the score. A document without words, or null, scores 0; so does everything if nothing
+can be learned. Ties and repeated rows score alike; extra columns are ignored; an empty table gives no rows. Labels,
+language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -40,10 +42,10 @@ from pyspark.sql import functions as F
 from weftline.llm import common
 
 SAMPLE, DECAY, WIDE, STRIDE, THRESHOLD = 4000, 0.6, 14, 2, 0.3
-LEAST, CHANCE = 5, 1e-4
+LEAST, LIFT, CHANCE = 4, 0.9, 1e-3
 COST, EPOCHS = 2.0, 12
-#: How much several moderate words add to a document's value: log-sum-exp at this sharpness.
-SHARP = 3.0
+#: A document's value adds up log(1 + exp(SHARP * (f - MARGIN))) / SHARP of its windows' values f.
+MARGIN, SHARP = 0.5, 6.0
 LANDMARKS, NEAR, FREQUENT, NEGATIVES = 96, 48, 32, 6000
 BITS = 6
 _STAND_IN = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -54,6 +56,9 @@ for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
     _CODES[ord(_c)] = 1 + _i
 for _c, _as in _STAND_IN.items():
     _CODES[ord(_c)] = _CODES[ord(_as)]
+#: Stands before each word.
+START = "\x02"
+_CODES[ord(START)] = 39
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_+=~/\\^`"
 _SPELT = re.compile(r"(?<!\w)\w(?:[ ._*-]\w(?!\w)){2,}")
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
@@ -85,6 +90,7 @@ def words_of(text: str) -> dict[str, int]:
 
 
 def windows(word: str) -> list[str]:
+    word = START + word
     return [word] if len(word) <= WIDE else [word[i : i + WIDE] for i in (*range(0, len(word) - WIDE, STRIDE), len(word) - WIDE)]
 
 
@@ -125,7 +131,7 @@ def spread(word: str) -> np.ndarray:
 
 def covering(words: list[str], most: int = LANDMARKS) -> list[str]:
     """At most `most` of the words, each the one that those before it leave most of."""
-    first = [windows(w)[0] for w in words]
+    first = [w[: WIDE - 1] for w in words]
     left = np.array([float((spread(w) ** 2).sum()) for w in first])
     found, columns = [], np.zeros((len(words), 0))
     while len(found) < min(most, len(words)):
@@ -151,32 +157,29 @@ def variants(word: str, rng: np.random.Generator, n: int = 6) -> list[str]:
 class Machine:
     """f(word) = weights . subsequences + bias; score(f) by a logistic curve."""
 
-    def __init__(self, weights: np.ndarray, bias: float, cut: float = 0.0, slope: float = 6.0) -> None:
+    def __init__(self, weights: np.ndarray, bias: float, cut: float = 0.0, slope: float = 2.0) -> None:
         self.weights, self.bias, self.cut, self.slope = weights, bias, cut, slope
 
     def values(self, words: list[str]) -> np.ndarray:
         return folded(words, self.weights) + self.bias
 
-    def score(self, f: np.ndarray) -> np.ndarray:
-        z = self.slope * (f - self.cut) + np.log(THRESHOLD / (1 - THRESHOLD))
-        return np.where(np.isfinite(f), 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0.0)
 
 
-def fit(positive: dict[str, int], negative: list[str], near: list[str]) -> Machine:
-    """The machine on Nystroem features of words. positive: words with the number of their contexts, on
-    which their weights depend. near: negatives that are landmarks besides the first ones, and weigh more."""
+def fit(positive: list[str], negative: list[str], near: list[str]) -> Machine:
+    """The machine on Nystroem features of words. near: negatives that are landmarks besides the first ones, and
+    weigh more."""
     rng = np.random.default_rng(7)
-    landmarks = list(dict.fromkeys([*covering(list(positive)), *near[:NEAR], *negative[:FREQUENT]]))
+    landmarks = list(dict.fromkeys([*covering(positive), *near[:NEAR], *negative[:FREQUENT]]))
     basis = np.stack([spread(w) for w in landmarks])
     gram = basis @ basis.T
     values, vectors = np.linalg.eigh(gram.astype(float))
     keep = values > 1e-5 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    more = [(v, n) for w, n in positive.items() for v in variants(w, rng)]
-    words = [*positive, *[v for v, _ in more], *negative]
+    more = [v for w in positive for v in variants(w, rng)]
+    words = [*positive, *more, *negative]
     y = np.array([1.0] * (len(positive) + len(more)) + [-1.0] * len(negative))
     hard = set(near)
-    weight = np.concatenate((np.sqrt([*positive.values(), *[n / 3 for _, n in more]]), [8.0 if w in hard else 1.0 for w in negative]))
+    weight = np.concatenate((np.ones(len(positive)), np.full(len(more), 0.577), [8.0 if w in hard else 1.0 for w in negative]))
     for side in (y > 0, y < 0):
         weight[side] *= COST * len(y) / 2 / max(weight[side].sum(), 1e-9)
     x = np.stack([folded(words, b) for b in basis], axis=1).astype(float) @ root
@@ -227,16 +230,18 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Machin
     lift = F.col("bad") / (F.col("bad") + F.col("good") * share / max(1 - share, 1e-6))
     part = lambda n, p: F.when(n > 0, n * F.log(n / ((F.col("bad") + F.col("good")) * F.lit(max(p, 1e-9))))).otherwise(0.0)
     by_chance = F.exp(-part(F.col("bad"), share) - part(F.col("good"), 1 - share))
-    positive = {r["word"]: r["bad"] for r in table.filter((F.col("bad") >= LEAST) & F.col("several") & (lift >= 0.95) & (by_chance <= CHANCE)).orderBy(F.desc("bad"), "word").collect()}
+    witnesses = table.filter((F.col("bad") >= LEAST) & F.col("several") & (lift >= LIFT) & (by_chance <= CHANCE))
+    positive = [r["word"] for r in witnesses.orderBy(F.desc("bad"), "word").collect()]  # of a bounded sample
     if not positive:
         return None
     clean = table.filter((lift <= 0.8) & (F.col("good") > 0))
     negative = [r["word"] for r in clean.orderBy(F.desc("good"), "word").limit(NEGATIVES).collect()]
+    known = set(positive)
     machine = fit(positive, negative, negative[FREQUENT:])
     for _ in range(2):  # negatives that look most like positives
         near = hardest(chosen.filter("y = 0"), machine, NEGATIVES // 3)
         leaning = {r["word"] for r in table.filter((lift > 0.8) & F.col("word").isin(near)).select("word").collect()}
-        near = [w for w in near if w not in positive and w not in leaning]
+        near = [w for w in near if w not in known and w not in leaning]
         machine = fit(positive, list(dict.fromkeys([*negative, *near])), near)
     rows = documents(chosen, machine).select("f", "y").orderBy("f", "y").toArrow()  # the sample
     f, y = rows.column("f").to_numpy().astype(float), rows.column("y").to_numpy()
@@ -267,15 +272,16 @@ def hardest(docs: DataFrame, machine: Machine, most: int) -> list[str]:
 
 
 def value_of(values: list[float], counts: list[int]) -> float:
-    if not values:
+    """A document's value from those of its words and how often they occur; -infinity without words."""
+    v = np.array(values, float)
+    some = np.isfinite(v)
+    if not some.any():
         return -np.inf
-    v = np.array(values)
-    top = v.max()
-    return float(top + np.log((np.minimum(counts, 8) * np.exp(SHARP * (v - top))).sum()) / SHARP) if np.isfinite(top) else -np.inf
+    return float((np.minimum(counts, 8)[some] * np.logaddexp(0.0, SHARP * (v[some] - MARGIN))).sum() / SHARP)
 
 
 def documents(docs: DataFrame, machine: Machine) -> DataFrame:
-    """`docs` (with a text column) with the greatest value f of its words; -infinity without words."""
+    """`docs` (with a text column) with the value f of each; -infinity without words."""
     cache: dict[str, float] = {}
     names = docs.columns
 
@@ -303,7 +309,8 @@ def score_docs(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
         return out.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     z = F.lit(machine.slope) * (F.col("f") - F.lit(machine.cut)) + F.lit(float(np.log(THRESHOLD / (1 - THRESHOLD))))
     score = F.when(F.col("f") == F.lit(float("-inf")), 0.0).otherwise(1 / (1 + F.exp(-z)))
-    return documents(out, machine).select("doc_id", "held_out", score.alias("score"), F.when(F.col("f") >= F.lit(machine.cut), 1).otherwise(0).alias("predicted"))
+    scored = documents(out, machine).select("doc_id", "held_out", score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
