@@ -9,7 +9,9 @@ the disk that a cluster grants here, see the README):
 1. Segments are counted by content (two 64-bit hashes), with partial aggregation. Where a segment
    occurs twice or more, all of it is covered.
 2. Of owners (by the hash of their `GRAM` bytes) with several different segments, each segment is
-   brought in once with its bytes. The owners are shuffled and sorted by Spark, which spills to disk
+   brought in once with its bytes. An owner of more than `HOT` different segments is split: equal strings that begin
+   at most `HALF` bytes before it agree in LENGTH - HALF bytes from it on, others in HALF + 1 bytes before it, so its
+   segments go twice, to those that agree with them there. The owners are shuffled and sorted by Spark, which spills to disk
    like an external queue; a task reads one owner after the other as a stream. An owner's segments are sorted as
    suffixes from the owner on, and as reversed prefixes before it; neighbours carry the length of
    their common prefix. From the two orders the rank of the string that starts d bytes before the
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from weftline.llm import common, shingles
 
 U = np.uint64
-LENGTH, GRAM = 200, 24
+LENGTH, GRAM, HALF, HOT = 200, 24, 88, 200
+#: Which strings of an owner a row is compared for: all, those that begin up to HALF bytes before it, or the others.
+WHOLE, RIGHT, LEFT = range(3)
 _POSITION = U((1 << 34) - 1)
 _BYTE = common.mix64(np.arange(1, 257, dtype=np.uint64) * U(0xD1342543DE82EF95))
 
@@ -72,17 +76,18 @@ def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, first - base, count, own - base, gram[own].view(np.int64), content.view(np.int64)
 
 
-def shared(segs: list[tuple[bytes, int, int]]) -> list[list[tuple[int, int]]]:
+def shared(segs: list[tuple[bytes, int, int]], least: int = 0, most: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For the different segments (bytes, owner's place, number of strings) of one owner: the runs
-    [first, end) of their strings that another segment has as well."""
+    [first, end) of their strings that another segment has as well, of strings that begin at least `least` and at
+    most `most` bytes before the owner."""
     m = len(segs)
     if m < 2:
         return [[] for _ in segs]
     place = np.array([s[1] for s in segs])
     count = np.array([s[2] for s in segs])
-    high, low = place, place - count + 1  # strings start d bytes before the owner, low <= d <= high
+    high, low = np.minimum(place, most), np.maximum(place - count + 1, least)  # strings start d bytes before the owner, low <= d <= high
     lefts, rights = [s[0][: s[1]][::-1] for s in segs], [s[0][s[1] :] for s in segs]
-    covered = np.zeros((m, int(high.max()) + 1), bool)
+    covered = np.zeros((m, max(int(high.max()), 0) + 1), bool)
     if m <= 12:
         tables = [_padded(x) for x in (lefts, rights)]
         for i in range(m - 1):
@@ -131,6 +136,10 @@ def _common(one: np.ndarray, size: int, rows: np.ndarray, sizes: np.ndarray) ->
     return np.minimum(np.minimum(first, sizes), size)
 
 
+def _number(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+
+
 def covered_ranges(docs: DataFrame) -> DataFrame:
     """(row_key, ranges) for texts with covered bytes, from (row_key, text)."""
 
@@ -139,30 +148,40 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
         keys = part.column(0).take(pa.array(row, pa.int64()))
         return common.batch_of({"row_key": (keys, None), "first": (first, pa.int32()), "strings": (count, pa.int32()), "place": (own - first, pa.int32()), "gram": (gram, pa.int64()), "content": (content, pa.int64())})
 
-    found = common.map_rows(docs, cut_up, "row_key long, first int, strings int, place int, gram long, content long")
+    found = common.map_rows(docs, cut_up, "row_key binary, first int, strings int, place int, gram long, content long")
     where = F.struct("row_key", "first", "strings", "place")
     kinds = found.groupBy("gram", "content").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min(where).alias("at"))
     kinds = kinds.withColumn("segments", F.count(F.lit(1)).over(Window.partitionBy("gram")))
     kinds = common.cut(kinds.filter("n > 1 or segments > 1"))
     again = kinds.filter("n > 1").select("gram", "content")
     whole = common.cut(found.join(again, ["gram", "content"], "left_semi").select("row_key", "first", (F.col("first") + F.col("strings") + LENGTH - 1).alias("end")))
-    spots = kinds.filter("segments > 1").select("gram", "n", "at.*").groupBy(F.col("row_key").alias("k")).agg(F.collect_list(F.struct("gram", "n", "first", "strings", "place")).alias("spots"))
+    spots = kinds.filter("segments > 1").select("gram", "n", "at.*", (F.col("segments") > HOT).alias("hot")).groupBy(F.col("row_key").alias("k")).agg(F.collect_list(F.struct("gram", "n", "first", "strings", "place", "hot")).alias("spots"))
     spots = common.cut(spots)
     texts = docs.join(spots, F.col("row_key") == F.col("k"))
 
     def fetch(part: pa.RecordBatch) -> pa.RecordBatch:
         data, at = common.raw(part.column(1))
-        out: dict[str, list] = {n: [] for n in ("gram", "row_key", "first", "strings", "place", "n", "body")}
+        names = ("gram", "half", "agree", "row_key", "first", "strings", "place", "n", "body")
+        rows = []
         for i, (key, spots) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
             for s in spots:
                 a = int(at[i]) + s["first"]
-                out["row_key"].append(key)
-                out["body"].append(data[a : a + s["strings"] + LENGTH - 1].tobytes())
-                for n in ("gram", "first", "strings", "place", "n"):
-                    out[n].append(s[n])
-        return common.batch_of({"gram": (out["gram"], pa.int64()), "row_key": (out["row_key"], pa.int64()), **{n: (out[n], pa.int32()) for n in ("first", "strings", "place", "n")}, "body": (out["body"], pa.binary())})
-
-    bodies = common.map_rows(texts.select("row_key", "text", "spots"), fetch, "gram long, row_key long, first int, strings int, place int, n int, body binary")
+                body = data[a : a + s["strings"] + LENGTH - 1].tobytes()
+                place = s["place"]
+                rest = (key, s["first"], s["strings"], place, s["n"], body)
+                if not s["hot"]:
+                    rows.append((s["gram"], WHOLE, 0, *rest))
+                    continue
+                if place - s["strings"] < HALF:
+                    rows.append((s["gram"], RIGHT, _number(body[place : place + LENGTH - HALF]), *rest))
+                if place > HALF:
+                    rows.append((s["gram"], LEFT, _number(body[place - HALF - 1 : place]), *rest))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return common.batch_of({n: ([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)})
+
+    bodies = common.map_rows(texts.select("row_key", "text", "spots"), fetch, "gram long, half int, agree long, row_key binary, first int, strings int, place int, n int, body binary")
+
+    dealt = ("gram", "half", "agree")
 
     def induce(batches):
         """Owners come sorted; the last one of a batch may go on in the next."""
@@ -174,31 +193,34 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
                 different.setdefault((r["body"], r["place"]), r)
             own = list(different.values())
             out = []
-            for r, runs in zip(own, shared([(r["body"], r["place"], r["strings"]) for r in own]), strict=True):
+            least, most = {WHOLE: (0, LENGTH), RIGHT: (0, HALF), LEFT: (HALF + 1, LENGTH)}[own[0]["half"]] if own else (0, 0)
+            for r, runs in zip(own, shared([(r["body"], r["place"], r["strings"]) for r in own], least, most), strict=True):
                 if r["n"] == 1:
                     out += [(r["row_key"], r["first"] + a, r["first"] + b - 1 + LENGTH) for a, b in runs]
             return out
 
         def batch(out):
-            return common.batch_of({"row_key": ([x[0] for x in out], pa.int64()), "first": ([x[1] for x in out], pa.int32()), "end": ([x[2] for x in out], pa.int32())})
+            return common.batch_of({"row_key": ([x[0] for x in out], pa.binary()), "first": ([x[1] for x in out], pa.int32()), "end": ([x[2] for x in out], pa.int32())})
 
         for b in batches:
             out = []
             for r in b.to_pylist():
-                if held and held[0]["gram"] != r["gram"]:
+                if held and any(held[0][k] != r[k] for k in dealt):
                     out += flush(held)
                     held = []
                 held.append(r)
             yield batch(out)
         yield batch(flush(held))
+        common.give_back()
 
-    partial = common.cut(bodies.repartition("gram").sortWithinPartitions("gram").mapInArrow(induce, "row_key long, first int, end int"))
+    partial = common.cut(bodies.repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(induce, "row_key binary, first int, end int"))
     return common.cut(whole.union(partial).groupBy("row_key").agg(F.collect_list(F.struct("first", "end")).alias("ranges")))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every text; kept: the remaining bytes."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
+def remove_repeats(docs: DataFrame, *, keep: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every text; kept: the remaining bytes, if asked for."""
+    key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("row_key"))
     ranges = covered_ranges(docs.select("row_key", "text"))
     ranges = ranges.withColumnRenamed("row_key", "k")
     joined = docs.join(ranges, F.col("row_key") == F.col("k"), "left").select("doc_id", "text", "ranges")
@@ -221,11 +243,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     done = b
             kept.append(own[done:].tobytes())
             body = b"".join(kept)
-            rows.append((len(own), removed, spans, hashlib.sha256(body).hexdigest(), body))
+            rows.append((len(own), removed, spans, hashlib.sha256(body).hexdigest(), body if keep else None))
         return common.batch_of({"doc_id": (part.column(0), None), **{n: ([r[k] for r in rows], pa.int64()) for k, n in enumerate(("n_bytes", "n_removed", "n_spans"))}, "kept_sha256": ([r[3] for r in rows], pa.string()), "kept": ([r[4] for r in rows], pa.binary())})
 
     return common.map_rows(joined, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(common.table(spark, sf_dir, "documents"), keep=False).drop("kept")
