@@ -5,10 +5,12 @@ frames. Each byte is one 8 x 8 block of even brightness; with a quantiser of 8 f
 means of 8-bit samples survive baseline JPEG exactly, so any decoder gives the bytes back. Frames
 are Huffman-coded baseline JPEG (DC differences, end of block), indexed by an idx1 chunk.
 
-`read_clips` parses the RIFF chunks and the index, decodes the frames (one component, baseline,
-8-bit, Huffman tables as given, restart intervals not supported) and detects shots: a cut
-is where the histogram difference of neighbouring frames exceeds the mean of the differences in a
-window around it by `FACTOR` standard deviations and `FLOOR`. It yields clip rows with times.
+`read_clips` parses the RIFF chunks and the index, decodes the frames (baseline, 8-bit, any number of
+components with their sampling, restart intervals, Huffman tables as given in the frame) to the block means of the
+first component, the brightness, and detects shots: a cut is where the histogram difference of neighbouring frames
+exceeds the mean of the differences in a window around it by `FACTOR` standard deviations and `FLOOR`. It yields clip
+rows with times. A null file, and one that can't be read whole (not AVI, broken or other frames, frames of different
+sizes), has null digests of what is read back and no clips; a file without frames has an empty payload and no clips.
 
 All symbols of all frames of a slice are coded, and read, side by side with numpy: reading advances one
 symbol in every frame at a time. Nulls and empty texts are one frame of 255. Equal texts give equal
@@ -157,6 +159,8 @@ def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
 def _jpeg_head(frame: bytes) -> tuple[bytes, int]:
     """(the segments before the entropy-coded data, where that begins)."""
     at = 2
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
     while True:
         mark, n = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         at += 2 + n
@@ -164,63 +168,129 @@ def _jpeg_head(frame: bytes) -> tuple[bytes, int]:
             return frame[:at], at
 
 
-def _decoder(head: bytes):
-    """(height, width, quantisers in zigzag order, DC lookup, AC lookup) of a grey baseline frame's segments."""
-    at, quant, tables, shape = 2, None, {}, None
-    while at < len(head):
-        mark, n = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
-        body = head[at + 4 : at + 2 + n]
-        if mark == 0xDB:
-            quant = np.frombuffer(body[1:65], np.uint8).astype(np.int32)
-        elif mark == 0xC0:
-            shape = struct.unpack_from(">HH", body, 1)
-            if body[0] != 8 or body[5] != 1:
-                raise ValueError("only grey 8-bit frames")
-        elif mark == 0xC4:
-            counts = list(body[1:17])
-            lookup = np.zeros(1 << 16, np.int32)  # 16 bits ahead: symbol << 5 | bits of its code
-            for symbol, (code, bits) in _codes(counts, list(body[17 : 17 + sum(counts)])).items():
-                lookup[code << (16 - bits) : (code + 1) << (16 - bits)] = symbol << 5 | bits
-            tables[body[0]] = lookup
-        elif mark in (0xC1, 0xC2, 0xC3, 0xDD):
-            raise ValueError("only baseline frames without restart intervals")
-        at += 2 + n
-    return shape, quant, tables[0x00], tables[0x10]
-
-
-def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """Block means of frames with equal segments, [frame, block], as 8-bit samples."""
-    head, at = _jpeg_head(frames[0])
-    (height, width), quant, dc, ac = _decoder(head)
-    blocks = -(-height // 8) * -(-width // 8)
-    scans = [f[at:-2].replace(b"\xff\0", b"\xff") for f in frames]
-    starts = np.concatenate(([0], np.cumsum([len(s) + 8 for s in scans])))[:-1]
-    data = np.frombuffer(b"".join(s + b"\0" * 8 for s in scans), np.uint8)
-    pad = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint32)
-    word = pad[:-3] << 24 | pad[1:-2] << 16 | pad[2:-1] << 8 | pad[3:]  # 32 bits from each byte on
-    position = starts * 8
-    level = np.zeros(len(frames), np.int64)
-    out = np.zeros((len(frames), blocks), np.int64)
+_BROKEN = (ValueError, IndexError, KeyError, struct.error)
+
+
+def _frames_in(media: bytes | None) -> tuple[float, list[tuple[bytes, bytes]]] | None:
+    """(frames a second, (frame, its segments) of each); None if the file can't be taken apart."""
+    try:
+        rate, frames = parse_avi(media or b"")
+        return rate, [(f, _jpeg_head(f)[0]) for f in frames]
+    except _BROKEN:
+        return None
+
+
+class Head:
+    """What a frame's segments say: its size, and of each component of its scan the sampling, the quantiser of the
+    mean and the Huffman lookups (16 bits ahead: symbol << 5 | bits of its code)."""
+
+    def __init__(self, head: bytes) -> None:
+        at, quants, tables, shape, parts = 2, {}, {}, None, {}
+        self.restart, self.scan = 0, []
+        while at < len(head):
+            mark, n = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
+            body = head[at + 4 : at + 2 + n]
+            i = 0
+            if mark == 0xDB:
+                while i < len(body):
+                    wide = body[i] >> 4
+                    quants[body[i] & 15] = struct.unpack_from(">H", body, i + 1)[0] if wide else body[i + 1]
+                    i += 65 + 64 * wide
+            elif mark == 0xC0:
+                shape = struct.unpack_from(">HH", body, 1)
+                if body[0] != 8:
+                    raise ValueError("only 8-bit frames")
+                parts = {body[i]: (body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)}
+            elif mark == 0xC4:
+                while i < len(body):
+                    counts = list(body[i + 1 : i + 17])
+                    lookup = np.zeros(1 << 16, np.int32)
+                    for symbol, (code, bits) in _codes(counts, list(body[i + 17 : i + 17 + sum(counts)])).items():
+                        lookup[code << (16 - bits) : (code + 1) << (16 - bits)] = symbol << 5 | bits
+                    tables[body[i]] = lookup
+                    i += 17 + sum(counts)
+            elif mark == 0xDD:
+                self.restart = struct.unpack(">H", body[:2])[0]
+            elif mark == 0xDA:
+                for j in range(body[0]):
+                    across, down, q = parts[body[1 + 2 * j]]
+                    use = body[2 + 2 * j]
+                    self.scan.append((across, down, quants[q], tables[use >> 4], tables[0x10 | use & 15]))
+            elif 0xC1 <= mark <= 0xCF and mark not in (0xC8, 0xCC):
+                raise ValueError("only baseline frames")
+            at += 2 + n
+        if shape is None or 0 in shape or len(self.scan) != len(parts):
+            raise ValueError("no frame, or its components in several scans")
+        self.height, self.width = shape
+        if len(self.scan) == 1:  # a scan of one component has its blocks in plain order
+            self.scan = [(1, 1, *self.scan[0][2:])]
+        self.most = max(c[0] for c in self.scan), max(c[1] for c in self.scan)
+
+    def order(self):
+        """(component, row and column of its block) of all blocks of the scan; None where an interval may end."""
+        across, down = (-(-n // (8 * m)) for n, m in zip((self.width, self.height), self.most, strict=True))
+        for unit in range(across * down):
+            if unit and self.restart and unit % self.restart == 0:
+                yield None
+            for c, (h, v, *_) in enumerate(self.scan):
+                for i in range(v * h):
+                    yield c, unit // across * v + i // h, unit % across * h + i % h
+
+
+def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(block means of the first component of frames with equal segments, [frame, block], as 8-bit samples; whether
+    each frame could be read whole)."""
+    segments, at = _jpeg_head(frames[0])
+    head = Head(segments)
+    h, v = head.scan[0][:2]
+    rows, across = (-(-n * s // (8 * m)) for n, s, m in ((head.height, v, head.most[1]), (head.width, h, head.most[0])))
+    scans = [f[at : len(f) - 2 if f.endswith(b"\xff\xd9") else len(f)].replace(b"\xff\0", b"\xff") for f in frames]
+    starts = np.concatenate(([0], np.cumsum([len(s) + 8 for s in scans])))
+    ends = starts[:-1] * 8 + np.array([len(s) * 8 for s in scans])
+    pad = np.frombuffer(b"".join(s + b"\0" * 8 for s in scans) + b"\0" * 8, np.uint8).astype(np.int64)
+    word = pad[:-4] << 32 | pad[1:-3] << 24 | pad[2:-2] << 16 | pad[3:-1] << 8 | pad[4:]  # 40 bits from each byte on
+    position = starts[:-1] * 8
     last = np.int64(len(word) * 8 - 1)
-    for b in range(blocks):
-        ahead = word[position >> 3].astype(np.int64) << (position & 7) & 0xFFFFFFFF
-        entry = dc[ahead >> 16]
+    level = np.zeros((len(head.scan), len(frames)), np.int64)
+    whole = np.ones(len(frames), bool)
+    out = np.zeros((len(frames), rows * across), np.int64)
+    for step in head.order():
+        if step is None:  # the next interval begins at a byte, behind a marker of two
+            position = np.minimum((position + 7 >> 3) + 2 << 3, last)
+            level[:] = 0
+            continue
+        c, row, column = step
+        _, _, _, dc, ac = head.scan[c]
+        ahead = word[position >> 3] << (position & 7) & 0xFFFFFFFFFF
+        entry = dc[ahead >> 24]
         used, n = entry & 31, entry >> 5
-        ahead = ahead << used & 0xFFFFFFFF  # at most 9 bits so far; 25 - 9 are left
-        v = ahead >> (32 - n)
-        v = np.where(n > 0, np.where(v < (1 << n) >> 1, v - (1 << n) + 1, v), 0)
-        level += v
-        out[:, b] = level
+        whole &= used > 0
+        v = ahead >> (40 - used - n) & (1 << n) - 1
+        level[c] += np.where((n > 0) & (v < (1 << n) >> 1), v - (1 << n) + 1, v)
+        if c == 0 and row < rows and column < across:
+            out[:, row * across + column] = level[0]
         position = np.minimum(position + used + n, last)
-        open_, k = np.arange(len(frames)), np.ones(len(frames), np.int64)
-        while len(open_):  # AC symbols, until each block has ended; they don't touch the mean
-            p = position[open_]
-            entry = ac[(word[p >> 3].astype(np.int64) << (p & 7) & 0xFFFFFFFF) >> 16]
+        open_, k = None, None
+        while open_ is None or len(open_):  # AC symbols, until each block has ended; they don't touch the mean
+            p = position if open_ is None else position[open_]
+            entry = ac[(word[p >> 3] << (p & 7) & 0xFFFFFFFFFF) >> 24]
             symbol, bits = entry >> 5, entry & 31
-            position[open_] = np.minimum(p + bits + (symbol & 15), last)
-            k[open_] += (symbol >> 4) + 1
-            open_ = open_[(symbol != 0) & (k[open_] < 64)]
-    return np.clip((out * int(quant[0]) + 4) // 8 + 128, 0, 255).astype(np.uint8)
+            on = np.minimum(p + bits + (symbol & 15), last)
+            if open_ is None:
+                whole &= bits > 0
+                position = on
+                if not symbol.any():
+                    break
+                open_ = np.flatnonzero(symbol)
+                k = (symbol[open_] >> 4) + 2
+            else:
+                whole[open_[bits == 0]] = False
+                position[open_] = on
+                k += (symbol >> 4) + 1
+                open_, k = open_[symbol != 0], k[symbol != 0]
+            open_, k = open_[k < 64], k[k < 64]
+    whole &= position <= ends
+    return np.clip((out * int(head.scan[0][2]) + 4) // 8 + 128, 0, 255).astype(np.uint8), whole
 
 
 def shots(samples: np.ndarray) -> list[tuple[int, int]]:
@@ -266,23 +336,32 @@ def read_clips(files: DataFrame, *, id_col: str = "doc_id", media_col: str = "me
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         media = part.column(2).to_pylist()
-        parsed = [parse_avi(m) for m in media]
+        parsed = [_frames_in(m) for m in media]
         # frames of equal segments are read side by side
         by_head: dict[bytes, list[tuple[int, int]]] = {}
-        for i, (_, frames) in enumerate(parsed):
-            for j, f in enumerate(frames):
-                by_head.setdefault(_jpeg_head(f)[0], []).append((i, j))
+        for i, found in enumerate(parsed):
+            for j, (_, head) in enumerate(found[1] if found else ()):
+                by_head.setdefault(head, []).append((i, j))
         samples: list[dict[int, np.ndarray]] = [{} for _ in media]
         for places in by_head.values():
-            got = decode_frames([parsed[i][1][j] for i, j in places])
-            for (i, j), row in zip(places, got, strict=True):
-                samples[i][j] = row
+            try:
+                got, whole = decode_frames([parsed[i][1][j][0] for i, j in places])
+            except _BROKEN:
+                continue
+            for (i, j), row, good in zip(places, got, whole.tolist(), strict=True):
+                if good:
+                    samples[i][j] = row
         rows = []
-        for m, (rate, frames), own in zip(media, parsed, samples, strict=True):
-            x = np.stack([own[j] for j in range(len(frames))])
+        for m, found, own in zip(media, parsed, samples, strict=True):
+            stored = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+            n = len(found[1]) if found else 0
+            if found is None or len(own) < n or len({len(x) for x in own.values()}) > 1:
+                rows.append((None, None, None, *stored, []))
+                continue
+            x = np.stack([own[j] for j in range(n)]) if n else np.zeros((0, 1), np.uint8)
             payload = x.tobytes()
-            clips = [{"clip": c, "first_frame": a, "end_frame": b, "start_s": a / rate, "end_s": b / rate} for c, (a, b) in enumerate(shots(x))]
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), clips))
+            clips = [{"clip": c, "first_frame": a, "end_frame": b, "start_s": a / found[0], "end_s": b / found[0]} for c, (a, b) in enumerate(shots(x))]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, clips))
         names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips")
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), _CLIPS)
         return common.batch_of({"doc_id": (part.column(0), None), "n_bytes": (part.column(1), None)} | {n: ([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)})
