@@ -76,15 +76,33 @@ def test_topk_edges(spark):
     rows = [(0, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [0.1, None]), (4, [nan, 0.1]), (5, [inf, 0.0]), (6, [-0.5, 0.1]), (7, [0.3]), (50, [0.3, 0.1]), (50, [0.3, 0.1]), (8, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(9))
     got = [tuple(r) for r in topk.search(df, k=2).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 2 * 128 * 128), (0, 2, 50, 128 * 76 + 128 * 25), (50, 1, 0, 76 * 128 + 25 * 128), (50, 2, 1, 76 * 128 + 25 * 128)]
+    fifty = [(50, 1, 0, 76 * 128 + 25 * 128)] * 2 + [(50, 2, 1, 76 * 128 + 25 * 128)] * 2  # two rows, each a query
+    assert got == [(0, 1, 1, 2 * 128 * 128), (0, 2, 50, 128 * 76 + 128 * 25), *fifty]
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_topk_repeats_overflow_and_bounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i % 90, [float(v) for v in rng.integers(-9, 9, 40) / 8]) for i in range(150)]
+    rows += [rows[0], rows[0], rows[7], (50, [0.25] * 40), (7, [0.0] * 39 + [1e307])]
+    full = [[math.floor(256 * v) if abs(v) < 1e300 else 256 * int(v) for v in x] for _, x in rows]
+    want = []
+    for r, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(full[r], full[c], strict=True)), rows[c][0]) for c in range(len(rows)) if c != r)
+            want += [(i, n + 1, v, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, v) in enumerate(scored[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for size in (8192, 40):  # several blocks: the first bounds the others
+        monkeypatch.setattr(topk, "CANDIDATES", size)
+        assert sorted(map(tuple, topk.search(df).collect())) == sorted(want)
+    assert topk.search(df.filter("vec_id < 7")).count() == 5 * sum(i % 50 == 0 for i, _ in rows if i < 7)
+
+
 def test_topk_blocks_against_brute_force():
     rng = np.random.default_rng(0)
     x = rng.integers(-200, 200, (64, 3000)).astype(float)
     q = x[:, :20].T
-    a, b, s = topk.block_top(q, np.arange(20), x, np.arange(3000), 5)
+    a, b, s = topk.block_top(q, x, np.arange(3000), np.ones(3000, np.int64), np.arange(20), 5)
     full = q @ x
     for i in range(20):
         full[i, i] = -1e18
@@ -92,6 +110,66 @@ def test_topk_blocks_against_brute_force():
         assert b[a == i].tolist() == best.tolist() and s[a == i].tolist() == full[i, best].tolist()
 
 
+def test_join_large_groups_and_rows_without_ids(spark, monkeypatch):
+    """Blocks small enough that groups are taken apart by sketches, settled by hubs and compared across blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 5000)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 800)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    bases = [[words[j] for j in rng.integers(0, 40, n)] for n in rng.choice([2, 5, 40, 150, 220, 300], 40)]
+    rows = []
+    for i in range(400):
+        w = list(bases[rng.integers(len(bases))])
+        for _ in range(int(rng.choice([0, 1, 2, 5, 9])) if len(w) > 30 else 0):
+            w[rng.integers(len(w))] = words[rng.integers(40)]
+        rows.append((i if i % 9 else None, " ".join(w)))
+    rows += [(9000, None), (None, rows[0][1]), rows[2], rows[2]]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=90, den=100).collect()
+    sets = [shingle_set(t, 3) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component) for r in got))) == sorted(str((d, len(sets[i]), low.get(find(i)))) for i, (d, _) in enumerate(rows))
+
+
+def shingle_set(text, k):
+    w = (text or "").lower().split()
+    return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def test_join_common_passage_ties_no_texts(spark):
+    """A passage in 2,000 otherwise different documents: no links, and none lost between the few that are alike."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 1 << 40, 120)) + " " + passage) for i in range(2000)]
+    rows += [(5000, rows[3][1] + " more"), (5001, passage)]
+    got = {r.doc_id: r.component for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), k=5, num=80, den=100).collect()}
+    assert got[5000] == 3 and got[5001] == 5001 and all(got[i] == i for i in range(2000))
+
+
+def test_deduplicated_rows(spark):
+    a = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    rows = [(1, a), (1, a), (1, "another text under the same id, quite unlike the first one"), (2, a), (None, a), (None, "without an id but with words in it"), (None, "without an id but with words in it"), (7, None), (7, ""), (8, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.lit(1))
+    got = jaccard.deduplicated(df, k=5, num=80, den=100)
+    assert got.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [rows[0], rows[2], rows[5], *rows[7:]]))
+    assert jaccard.deduplicated(df.limit(0), k=5, num=80, den=100).count() == 0
+
+
 def near(rng, words, share):
     return " ".join(w if rng.random() > share else f"x{rng.integers(1 << 30)}" for w in words)
 

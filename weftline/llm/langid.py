@@ -21,7 +21,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import common
@@ -92,11 +92,11 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE) -> dict[str, list[int]]:
             yield common.batch_of({"lang": ([lang] * len(own), pa.string()), "gram": (list(own), pa.int64()), "n": (list(own.values()), pa.int64())})
 
     grams = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = grams.orderBy("lang", F.desc("n"), "gram").toArrow()  # of about `sample` documents a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # limited in each task before the shuffle
+    found = grams.withColumn("rank", rank).filter(F.col("rank") <= PROFILE).orderBy("lang", "rank").toArrow()  # PROFILE a language
     profiles: dict[str, list[int]] = {}
     for lang, gram in zip(found.column("lang").to_pylist(), found.column("gram").to_pylist(), strict=True):
-        if len(own := profiles.setdefault(lang, [])) < PROFILE:
-            own.append(gram)
+        profiles.setdefault(lang, []).append(gram)
     return profiles
 
 

@@ -68,14 +68,15 @@ def votes(column: pa.Array) -> np.ndarray:
     edge[at] = True
     starts = np.flatnonzero(~space & (np.concatenate(([True], space[:-1])) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
     ends = np.flatnonzero(~space & (np.concatenate((space[1:], [True])) | edge[1:])) + 1 if len(data) else starts
-    length = ends - starts
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # continuation bytes of UTF-8 begin no character
+    length = chars[ends] - chars[starts]
     first = np.searchsorted(starts, at)
     words = np.diff(first).astype(float)
     short = np.concatenate(([0], np.cumsum(length <= 3)))
     short = (short[first[1:]] - short[first[:-1]]).astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         letters = share[_LOWER] + share[_UPPER]
-        solid = np.diff(at) - share[_SPACE]
+        solid = chars[at[1:]] - chars[at[:-1]] - share[_SPACE]
         found = np.stack(
             [
                 _vote(share[_ODD] / words, NEVER, (0.5, np.inf)),

@@ -43,7 +43,7 @@ from weftline.llm import common
 
 SAMPLE, DECAY, WIDE, STRIDE, THRESHOLD = 4000, 0.6, 14, 2, 0.3
 LEAST, LIFT, CHANCE = 4, 0.9, 1e-3
-COST, EPOCHS = 2.0, 12
+COST, EPOCHS = 4.0, 12
 #: A document's value adds up log(1 + exp(SHARP * (f - MARGIN))) / SHARP of its windows' values f.
 MARGIN, SHARP = 0.5, 6.0
 LANDMARKS, NEAR, FREQUENT, NEGATIVES = 96, 48, 32, 6000
@@ -146,7 +146,7 @@ def covering(words: list[str], most: int = LANDMARKS) -> list[str]:
     return found
 
 
-def variants(word: str, rng: np.random.Generator, n: int = 6) -> list[str]:
+def variants(word: str, rng: np.random.Generator, n: int = 12) -> list[str]:
     out = []
     for _ in range(n):
         at = int(rng.integers(1, len(word)))
@@ -179,7 +179,7 @@ def fit(positive: list[str], negative: list[str], near: list[str]) -> Machine:
     words = [*positive, *more, *negative]
     y = np.array([1.0] * (len(positive) + len(more)) + [-1.0] * len(negative))
     hard = set(near)
-    weight = np.concatenate((np.ones(len(positive)), np.full(len(more), 0.577), [8.0 if w in hard else 1.0 for w in negative]))
+    weight = np.concatenate((np.ones(len(positive)), np.ones(len(more)), [8.0 if w in hard else 1.0 for w in negative]))
     for side in (y > 0, y < 0):
         weight[side] *= COST * len(y) / 2 / max(weight[side].sum(), 1e-9)
     x = np.stack([folded(words, b) for b in basis], axis=1).astype(float) @ root
