@@ -473,7 +473,8 @@ def refined(members: DataFrame, num: int, den: int) -> DataFrame:
 
     def compared(dealt_out: DataFrame) -> DataFrame:
         rows = dealt_out.select("grp", F.explode("pairs").alias("p"), "block", "n", "set_key", "sketch").select("grp", "p.a", "p.b", "block", "n", "set_key", "sketch")
-        return rows.groupBy("grp", "a", "b").applyInArrow(common.freeing(compare), "u binary, v binary")
+        # dealt out by pair of blocks: as they come, all of a group would stay in one task
+        return rows.repartition("grp", "a", "b").groupBy("grp", "a", "b").applyInArrow(common.freeing(compare), "u binary, v binary")
 
     found = components.connected(within(large, "bytes", BLOCK_BYTES, num, den, compared))
     found = found.select("node", F.xxhash64("component").alias("part"))
