@@ -45,6 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
     out = df.checkpoint()
     # shuffle files go when the driver collects its garbage, which it may not do for long: see to it here
     gc.collect()
+    give_back()
     sc._jvm.System.gc()
     return out
 

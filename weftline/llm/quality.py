@@ -163,10 +163,10 @@ def fit_scorer(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: in
     """Weighted logistic regression on soft targets, by Adam over the full sample."""
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    weight = (weight / max(weight.sum(), 1e-9)).astype(np.float32)
+    weight, target = (weight / max(weight.sum(), 1e-9)).astype(np.float32), target.astype(np.float32)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        e = (p - target) * weight
+        e = ((p - target) * weight).astype(np.float32)  # else x would be copied as double each time
         g, gb = x.T @ e + 1e-6 * w, float(e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -223,7 +223,10 @@ def fit(docs: DataFrame) -> Scorer | None:
     sample = common.map_rows(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "pattern", "text"), gather, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern int, x binary")
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()  # SAMPLE rows of 2 * BUCKETS bytes at most
     code = sample.column("pattern").to_numpy()
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    x = np.zeros((sample.num_rows, BUCKETS), np.float32)
+    for row, own in zip(x, sample.column("x"), strict=True):
+        row[:] = np.frombuffer(own.as_buffer(), np.float16)
+    del sample
     target = by_code[code]
     share = np.bincount(code, minlength=len(by_code))
     real = np.zeros(len(by_code))
@@ -231,7 +234,10 @@ def fit(docs: DataFrame) -> Scorer | None:
     weight = np.sqrt(real[code] / np.maximum(share[code], 1))
     for side in (target >= 0.5, target < 0.5):  # the classes weigh alike
         weight[side] /= max(weight[side].sum(), 1e-9)
-    return Scorer(by_code, *fit_scorer(x, target, weight))
+    scorer = Scorer(by_code, *fit_scorer(x, target, weight))
+    del x
+    common.give_back()
+    return scorer
 
 
 def score_docs(docs: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
