@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Runs of ASCII white space, the separators of text tokens.
 BLANKS = r"[ \t\n\x0B\f\r\x1C-\x1F]+"
+#: What BLANKS part.
+TOKEN = r"[^ \t\n\x0B\f\r\x1C-\x1F]+"
 
 
 def kind(df: DataFrame, name: str) -> T.DataType:

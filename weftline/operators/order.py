@@ -50,15 +50,20 @@ def head(df: DataFrame, n: int, specs=None) -> DataFrame:
 def tail(df: DataFrame, n: int, specs) -> DataFrame:
     """tail:MAX. The last rows of an order."""
     turned = [s[1:] if s.startswith("-") else "-" + s.lstrip("+") for s in (specs.split(",") if isinstance(specs, str) else specs)]
-    return df.orderBy(*order_of(df, turned)).limit(n)
+    last = df.orderBy(*order_of(df, turned)).limit(n)
+    return last.orderBy(*order_of(last, specs))
 
 
 @operator("sample")
-def sample(df: DataFrame, spec: int | float, seed: int = 0) -> DataFrame:
-    """sample:SPEC. An integer: exactly so many rows; a fraction: each row with that probability."""
-    if isinstance(spec, float) and 0 < spec < 1:
-        return df.sample(spec, seed)
-    return df.orderBy(F.rand(seed)).limit(int(spec))
+def sample(df: DataFrame, spec: int | float, seed: int = 0, by: str | None = None) -> DataFrame:
+    """sample:SPEC. An integer: exactly so many rows; a float: each row with that probability (1.0: all). by: a key
+    whose hash with the seed decides, so that the same rows are drawn however the table is laid out."""
+    key = None if by is None else F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string")).cast("binary"))
+    if isinstance(spec, float):
+        if not 0 <= spec <= 1:
+            raise ValueError("a share is between 0 and 1")
+        return df.sample(spec, seed) if key is None else df.filter(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") < F.lit(spec * (1 << 32)))
+    return df.orderBy(F.rand(seed) if key is None else key).limit(spec)
 
 
 @operator("cat")

@@ -123,6 +123,17 @@ def _typed(c: Column, as_type: str | None) -> Column:
     return c if as_type in (None, "string") else c.try_cast(as_type)
 
 
+def _group_numbers(pattern: str) -> dict[str, int]:
+    """The number of each named group: opening brackets that capture, outside classes, quotes and escapes."""
+    out, n = {}, 0
+    for m in re.finditer(r"\\Q.*?(?:\\E|$)|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?!\?)|\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern, re.S):
+        if m.group()[0] == "(":
+            n += 1
+            if m.group(1):
+                out[m.group(1)] = n
+    return out
+
+
 @operator("regex")
 def regex(df: DataFrame, field: str, pattern: str, types: dict[str, str] | None = None, child: str = "child") -> DataFrame:
     """regex:INPUT:REGEX. Named groups become fields.
@@ -133,7 +144,7 @@ def regex(df: DataFrame, field: str, pattern: str, types: dict[str, str] | None
     """
     names = re.findall(r"\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern)
     text, types = V.as_text(df, field), types or {}
-    number = {n: re.compile(pattern.replace("(?<", "(?P<")).groupindex[n] for n in names}
+    number = _group_numbers(pattern)
     if pattern.startswith("^") or pattern.endswith("$"):
         return df.withColumns({n: _typed(F.regexp_extract(text, pattern, number[n]), types.get(n)) for n in names})
     parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(number[n])).alias(n) for n in names]
@@ -157,9 +168,11 @@ def bin_value(df: DataFrame, field: str, size: float) -> DataFrame:
 def hash_fields(df: DataFrame, out: str, spec, mod: int = 0, wide: bool = False, seed: int = 0) -> DataFrame:
     """OUT=hash:INPUTS. XOR of a 64-bit hash of each value; 63 bits unless wide, reduced by mod from 2 on.
 
-    The hash is xxhash64. Equal values cancel each other; a row without values gets none.
+    The hash is xxhash64. Equal values cancel each other; a row without values, or without any of the fields, gets none.
     """
     names = [c for c in V.fields(df, spec) if c in df.columns]
+    if not names:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
     h = lambda c: F.xxhash64(F.lit(seed), c)
     parts = [F.aggregate(F.coalesce(F.col(c), F.array()), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(h(x))) if V.is_multi(df, c) else F.when(F.col(c).isNotNull(), h(F.col(c))).otherwise(F.lit(0)) for c in names]
     total = parts[0]
@@ -178,15 +191,18 @@ def no_op(df: DataFrame) -> DataFrame:
 
 @operator("throttle")
 def throttle(df: DataFrame, per_second: int) -> DataFrame:
-    """throttle:TPS. At most so many rows a second from each task; for calls to services that need it."""
+    """throttle:TPS. At most so many rows a second from all tasks that run at once, each with an equal share (the
+    cluster's parallelism divides the rate); for calls to services that need it."""
+    rate = per_second / max(1, df.sparkSession.sparkContext.defaultParallelism)
+    step = max(1, int(rate))
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, max(1, per_second)):
+            for at in range(0, b.num_rows, step):
                 began = time.monotonic()
-                part = b.slice(at, per_second)
+                part = b.slice(at, step)
                 yield part
-                time.sleep(max(0.0, part.num_rows / per_second - (time.monotonic() - began)))
+                time.sleep(max(0.0, part.num_rows / rate - (time.monotonic() - began)))
 
     return df.mapInArrow(run, df.schema)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,7 @@ from weftline.operators.shape import bin_value
 from weftline.registry import operator
 
 PERCENTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+BUCKETS = 4096
 
 
 def histogram(df: DataFrame, field: str, double_bin: float = 0.01, by: list[str] | None = None) -> DataFrame:
@@ -46,25 +50,38 @@ def _stats(df: DataFrame, field: str, by: str, max_points: int, min_count: int,
     t = t.elementType if isinstance(t, T.ArrayType) else t
     number = isinstance(t, T.NumericType)
     h = histogram(df, field, double_bin, [by])
-    # counts below a value, over the histogram: distinct values, not rows, pass the window
-    up = Window.partitionBy(by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(by)
-    points = h.withColumn("__rank", F.row_number().over(whole.orderBy(F.desc("n"), "value")))
+    points = h.withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "value")))  # limited in each task first
     points = points.filter((F.col("__rank") <= max_points) & (F.col("n") >= min_count)).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("__rank", F.col("value").cast("string").alias("value"), "n"))).alias("p"))
     points = points.select(by, F.transform("p", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("points"))
+    v, n = F.col("value").cast("double"), F.col("n")
     aggs = [F.sum("n").alias("num_values"), F.count(F.lit(1)).alias("num_unique")]
     if number:
-        v, n = F.col("value").cast("double"), F.col("n")
-        ranked = h.withColumns({"__upto": F.sum("n").over(up), "__total": F.sum("n").over(whole)})
-        at = {k: F.min(F.when(F.col("__upto") > F.floor(F.lit(p) * F.col("__total")), F.col("value"))).cast("double").alias(k) for k, p in PERCENTILES.items()}
-        mean = F.sum(v * n) / F.sum(n)
-        aggs += [F.sum(v * n).alias("sum"), mean.alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.sqrt(F.greatest(F.sum(v * v * n) / F.sum(n) - mean * mean, F.lit(0.0))).alias("stdev"), *at.values()]
-        h = ranked
+        aggs += [F.sum(v * n).alias("sum"), (F.sum(v * n) / F.sum("n")).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min")]
+        found = h.groupBy(by).agg(*aggs)
+        near = h.join(found, by)
+        spread = near.groupBy(by).agg(F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum("n")).alias("stdev"))
+        found = found.join(spread, by).join(_percentiles(near, by), by)
     else:
-        aggs += [F.lit(None).cast("double").alias(k) for k in ("sum", "mean", "max", "min", "stdev", *PERCENTILES)]
+        found = h.groupBy(by).agg(*aggs, *[F.lit(None).cast("double").alias(k) for k in ("sum", "mean", "max", "min", "stdev", *PERCENTILES)])
     have = F.size(field) > 0 if V.is_multi(df, field) else F.col(field).isNotNull()
     rows = df.groupBy(by).agg(F.sum(F.when(have, 1).otherwise(0)).cast("bigint").alias("num_recs"))
-    return rows.join(h.groupBy(by).agg(*aggs), by).join(points, by, "left")
+    return rows.join(found, by).join(points, by, "left")
+
+
+def _percentiles(h: DataFrame, by: str) -> DataFrame:
+    """(by, the percentiles) of a histogram with its totals. Counts are summed up over at most `BUCKETS` buckets of
+    equal width; only the buckets that hold a percentile are then looked at value by value, each by itself."""
+    v, width = F.col("value").cast("double"), F.col("max") - F.col("min")
+    h = h.withColumn("__bucket", F.when(width > 0, F.least(F.floor((v - F.col("min")) / width * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0))
+    buckets = h.groupBy(by, "__bucket", "num_values").agg(F.sum("n").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0))
+    place = lambda p: F.floor(F.lit(p) * F.col("num_values"))
+    buckets = buckets.withColumns({"__before": upto - F.col("__n"), "__upto": upto})
+    holds = reduce(or_, [(F.col("__before") <= place(p)) & (place(p) < F.col("__upto")) for p in PERCENTILES.values()])
+    inside = h.join(buckets.filter(holds).select(by, "__bucket", "__before"), [by, "__bucket"])
+    within = Window.partitionBy(by, "__bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("__upto", F.col("__before") + F.sum("n").over(within))
+    return inside.groupBy(by).agg(*[F.min(F.when(F.col("__upto") > place(p), v)).alias(k) for k, p in PERCENTILES.items()])
 
 
 @operator("divergence")

@@ -16,7 +16,7 @@ def txtcount(df: DataFrame, out: str, field: str) -> DataFrame:
     t = V.kind(df, field)
     t = t.elementType if isinstance(t, T.ArrayType) else t
     c = V.first(df, field)
-    return df.withColumn(out, F.when(c.isNotNull(), (F.size(V.strip_tokens(c)) if isinstance(t, T.StringType) else F.lit(1)).cast("bigint")))
+    return df.withColumn(out, F.when(c.isNotNull(), (F.regexp_count(c, F.lit(V.TOKEN)) if isinstance(t, T.StringType) else F.lit(1)).cast("bigint")))
 
 
 @operator("txtsplit")

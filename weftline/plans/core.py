@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from weftline.functions import values as V
 from weftline.operators import aggregate as A
 from weftline.operators import filters, keyed, nested, order, shape, stats, text
 from weftline.pipeline import Pipeline
+from weftline.sources import formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -176,19 +178,19 @@ def throttle(spark, sf):
 
 # --- keyed joins and filters ----------------------------------------------------------------------
 
-_SOME = "c_custkey % 3 <> 0"
 
 
 def _customers(spark, sf) -> keyed.Keyed:
-    return keyed.map_by(t(spark, sf, "customer").filter(_SOME).select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey"), "o_custkey")
+    """All customers, by twice their key: odd keys of orders and the upper half of the customers miss."""
+    return keyed.map_by(t(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("o_custkey"), "c_name", "c_nationkey"), "o_custkey")
 
 
 def _orders(spark, sf) -> DataFrame:
-    return t(spark, sf, "orders").filter("o_custkey % 2 = 0").select("o_orderkey", "o_custkey", "o_totalprice")
+    return t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-_LEFT = "(select o_orderkey, o_custkey, o_totalprice from orders where o_custkey % 2 = 0) l"
-_RIGHT = "(select c_custkey, c_name, c_nationkey from customer where c_custkey % 3 <> 0) r on l.o_custkey = r.c_custkey"
+_LEFT = "(select o_orderkey, o_custkey, o_totalprice from orders) l"
+_RIGHT = "(select c_custkey * 2 as c_custkey, c_name, c_nationkey from customer) r on l.o_custkey = r.c_custkey"
 for _how, _kind in (("left", "left"), ("inner", "inner"), ("right", "right"), ("outer", "full")):
     query(f"select o_orderkey, coalesce(o_custkey, c_custkey) as o_custkey, o_totalprice, c_name, c_nationkey from {_LEFT} {_kind} join {_RIGHT}", f"join_{_how}")(lambda spark, sf, how=_how: keyed.join(_orders(spark, sf), _customers(spark, sf), how))
 query(f"select o_orderkey, o_custkey, o_totalprice, c_custkey is not null as known from {_LEFT} left join {_RIGHT}", "join_flag")(lambda spark, sf: keyed.join(_orders(spark, sf), _customers(spark, sf), "known"))
@@ -312,14 +314,14 @@ def sort_uniq_by(spark, sf):
     return order.sort(t(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey"), "l_returnflag,-l_extendedprice,l_orderkey,l_linenumber,l_partkey", "l_returnflag", 5)
 
 
-@query()
+@query("select * from orders order by md5('7|' || o_orderkey) limit 100")
 def sample_exact(spark, sf):
-    return order.sample(t(spark, sf, "orders"), 100, 7)
+    return order.sample(t(spark, sf, "orders"), 100, 7, by="o_orderkey")
 
 
-@query()
+@query("select * from orders where ('0x' || substr(md5('7|' || o_orderkey), 1, 8))::bigint < 0.1 * 4294967296")
 def sample_share(spark, sf):
-    return order.sample(t(spark, sf, "orders"), 0.1, 7)
+    return order.sample(t(spark, sf, "orders"), 0.1, 7, by="o_orderkey")
 
 
 @query("select c_custkey as id, c_acctbal as bal, null as s_name from customer union all select s_suppkey, s_acctbal, s_name from supplier")
@@ -349,30 +351,31 @@ def txtsplit(spark, sf):
 
 
 def _pairs(spark, sf) -> DataFrame:
-    df = t(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("a"))
-    other = t(spark, sf, "conversations").filter("turn = 1").select("conv_id", F.col("text").alias("b"))
-    df = keyed.join(df, keyed.map_by(other, "conv_id"), "inner")
-    return df.withColumn("needle", F.when(F.col("conv_id") % 3 == 0, F.col("b")).when(F.col("conv_id") % 3 == 1, F.substring("b", 1, 12)).otherwise(F.concat_ws(" ", F.substring("b", 1, 6), F.col("a")))).withColumnRenamed("b", "hay").drop("a")
+    """Every turn with the next one of its conversation, whole texts: the next one itself, the turn, or both are sought."""
+    turns = t(spark, sf, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hay"))
+    both = turns.select("conv_id", "turn", "text").join(after, ["conv_id", "turn"])
+    return both.withColumn("needle", F.when(F.col("conv_id") % 3 == 0, F.col("hay")).when(F.col("conv_id") % 3 == 1, F.col("text")).otherwise(F.concat_ws(" ", "hay", "text"))).drop("text")
 
 
-_PAIR = "(select a.conv_id, b.text as hay, case when a.conv_id % 3 = 0 then b.text when a.conv_id % 3 = 1 then substr(b.text, 1, 12) else concat_ws(' ', substr(b.text, 1, 6), a.text) end as needle from (select * from conversations where turn = 0) a join (select * from conversations where turn = 1) b using (conv_id))"
+_PAIR = "(select a.conv_id, a.turn, b.text as hay, case when a.conv_id % 3 = 0 then b.text when a.conv_id % 3 = 1 then a.text else concat_ws(' ', b.text, a.text) end as needle from conversations a join conversations b on a.conv_id = b.conv_id and a.turn + 1 = b.turn)"
 _HITS = f"(select *, {_TOKENS.format('needle')} as nt, {_TOKENS.format('hay')} as ht from {_PAIR})"
 _HITS = f"(select *, len(list_filter(nt, lambda x: list_contains(ht, x))) as hits, len(nt) as size from {_HITS})"
 
 
-@query(f"select conv_id, case when size > 0 then hits >= size end as is_match, case when size > 0 then case when hits >= size and needle = hay then 'exact' when hits >= size and contains(hay, needle) then 'phrase' when hits >= size then 'broad' end end as kind from {_HITS}")
+@query(f"select conv_id, turn, case when size > 0 then hits >= size end as is_match, case when size > 0 then case when hits >= size and needle = hay then 'exact' when hits >= size and contains(hay, needle) then 'phrase' when hits >= size then 'broad' end end as kind from {_HITS}")
 def txtmatch_type(spark, sf):
-    return text.txtmatch(_pairs(spark, sf), "needle", "hay", add_type=True).select("conv_id", F.col("isMatch").alias("is_match"), F.col("matchedType").alias("kind"))
+    return text.txtmatch(_pairs(spark, sf), "needle", "hay", add_type=True).select("conv_id", "turn", F.col("isMatch").alias("is_match"), F.col("matchedType").alias("kind"))
 
 
-@query(f"select conv_id, case when size > 0 then hits >= floor(size * 0.4) end as is_match from {_HITS}")
+@query(f"select conv_id, turn, case when size > 0 then hits >= floor(size * 0.4) end as is_match from {_HITS}")
 def txtmatch_share(spark, sf):
-    return text.txtmatch(_pairs(spark, sf), "needle", "hay", "40%").select("conv_id", F.col("isMatch").alias("is_match"))
+    return text.txtmatch(_pairs(spark, sf), "needle", "hay", "40%").select("conv_id", "turn", F.col("isMatch").alias("is_match"))
 
 
-@query(f"select conv_id, case when size > 0 then hits >= list_extract([1, 2, 2, 3], least(size, 4)) end as is_match from {_HITS}")
+@query(f"select conv_id, turn, case when size > 0 then hits >= list_extract([1, 2, 2, 3], least(size, 4)) end as is_match from {_HITS}")
 def txtmatch_list(spark, sf):
-    return text.txtmatch(_pairs(spark, sf), "needle", "hay", "1,2,2,3").select("conv_id", F.col("isMatch").alias("is_match"))
+    return text.txtmatch(_pairs(spark, sf), "needle", "hay", "1,2,2,3").select("conv_id", "turn", F.col("isMatch").alias("is_match"))
 
 
 # --- statistics -----------------------------------------------------------------------------------
@@ -397,6 +400,11 @@ def stats_binned(spark, sf):
     return _rounded(stats.stats_of(t(spark, sf, "lineitem"), "l_quantity", double_bin=5))
 
 
+@query(_stats_sql("orders", "o_orderkey", "o_orderkey", "o_orderkey"))
+def stats_many_values(spark, sf):
+    return _rounded(stats.stats_of(t(spark, sf, "orders"), "o_orderkey"))
+
+
 @query("select 'l_returnflag' as field, v as value, n from (select l_returnflag as v, count(*) as n from lineitem group by 1 order by 2 desc, 1 limit 2)")
 def stats_points(spark, sf):
     s = stats.stats_of(t(spark, sf, "lineitem"), "l_returnflag", max_points=2)
@@ -419,6 +427,52 @@ def divergence(spark, sf):
     return d.select(*[F.round(c, 6).alias(c) for c in d.columns])
 
 
+# --- formats: a table is written to a fresh folder that all executors share, and read back -------------
+
+
+def _shared_folder(spark) -> str:
+    """A new folder below the cluster's checkpoint folder, or where that is unset below the warehouse."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top}/formats-{uuid.uuid4().hex}"
+
+
+_NAMES = "select c_custkey, c_name, c_mktsegment from customer"
+
+
+def _names(spark, sf) -> DataFrame:
+    return t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query(_NAMES)
+def format_tsv(spark, sf):
+    formats.write_tsv(_names(spark, sf), path := _shared_folder(spark))
+    return formats.read_tsv(spark, path)
+
+
+@query(_NAMES)
+def format_nv2(spark, sf):
+    formats.write_nv2(_names(spark, sf), path := _shared_folder(spark))
+    return formats.read_nv2(spark, path)
+
+
+@query(_NAMES)
+def format_json(spark, sf):
+    formats.write_json(_names(spark, sf), path := _shared_folder(spark))
+    return formats.read_json(spark, path, lines=True)
+
+
+@query(_NAMES)
+def format_nat(spark, sf):
+    formats.write_nat(_names(spark, sf), path := _shared_folder(spark))
+    return formats.read_nat(spark, path)
+
+
+@query("select c_name as txt from customer")
+def format_txt(spark, sf):
+    formats.write_txt(t(spark, sf, "customer").select("c_name"), path := _shared_folder(spark))
+    return formats.read_txt(spark, path)
+
+
 # --- values and windows ---------------------------------------------------------------------------
 
 

@@ -48,14 +48,28 @@ def infer(df: DataFrame, declared: dict[str, str] | None = None) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str, sep: str | None = None, allow_missing: bool = False, valid_regex: str | None = None) -> DataFrame:
-    reader = spark.read.option("pathGlobFilter", "*") if sep is None else spark.read.option("lineSep", sep)
-    try:
-        df = reader.text(path)
-    except Exception:
-        if not allow_missing:
-            raise
-        return spark.createDataFrame([], "value string")
-    return df.filter(F.input_file_name().rlike(valid_regex)) if valid_regex else df
+    reader = spark.read if sep is None else spark.read.option("lineSep", sep)
+    paths: list[str] | str = path
+    if allow_missing or valid_regex:
+        paths = [f for f in _files(spark, path) if not valid_regex or re.search(valid_regex, f)]
+        if not paths:
+            if not allow_missing and not _files(spark, path):
+                raise FileNotFoundError(path)
+            return spark.createDataFrame([], "value string")
+    return reader.text(paths)
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, folder or pattern stands for, in any store that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(conf)
+    found = []
+    for top in fs.globStatus(where) or []:
+        for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
+            if f.isFile() and f.getPath().getName()[0] not in "._":
+                found.append(f.getPath().toString())
+    return sorted(found)
 
 
 def with_errors_allowed(df: DataFrame, bad, allow_errors: int) -> DataFrame:
@@ -187,15 +201,15 @@ def write_json(df: DataFrame, path: str, lines: bool = True, **kw) -> None:
 
 @operator("tsv", "source")
 def read_tsv(spark: SparkSession, path: str, fields: list[str] | None = None, delim: str = "\t", no_empty: bool = False, declared: dict[str, str] | None = None, allow_errors: int = 0) -> DataFrame:
-    """PATH.tsv. A header (blanks become _) or `fields`; no quoting; rows of another width are errors."""
-    names = fields or [x.replace(" ", "_") for x in (spark.read.text(path).first() or [""])[0].split(delim)]
-    cells = F.split("value", re.escape(delim), -1)
-    rows = spark.read.text(path)
-    if fields is None:
-        head = delim.join(names)
-        rows = rows.filter(F.translate("value", " ", "_") != head) if " " not in delim else rows.filter(F.col("value") != head)
-    rows = with_errors_allowed(rows, F.size(cells) != len(names), allow_errors)
-    out = rows.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    """PATH.tsv. A header in each file (blanks become _), the first one's names for all, or `fields` and no header; no
+    quoting; blank lines are skipped; rows of another width are errors."""
+    names = fields or [x.replace(" ", "_") for x in (spark.read.text(path).filter("value <> ''").first() or [""])[0].split(delim)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "__wrong")])
+    options = {"sep": delim, "header": str(fields is None).lower(), "quote": "", "nullValue": "\x01", "emptyValue": "", "columnNameOfCorruptRecord": "__wrong", "columnPruning": "false"}
+    # Spark refuses to read the column of wrong rows alone, so the condition names another as well
+    wrong = F.col("__wrong").isNotNull() | (F.length(F.coalesce(names[0], F.lit(""))) < 0)
+    rows = with_errors_allowed(spark.read.options(**options).csv(path, schema), wrong, allow_errors)
+    out = rows.select(*[F.coalesce(n, F.lit("")).alias(n) for n in names])  # a cell without characters is read as null
     if no_empty:
         out = out.withColumns({n: F.when(F.col(n) != "", F.col(n)) for n in names})
     return infer(out, declared)
