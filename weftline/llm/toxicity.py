@@ -170,8 +170,9 @@ def fit(positive: list[str], negative: list[str], near: list[str]) -> Machine:
     weigh more."""
     rng = np.random.default_rng(7)
     landmarks = list(dict.fromkeys([*covering(positive), *near[:NEAR], *negative[:FREQUENT]]))
-    basis = np.stack([spread(w) for w in landmarks])
-    gram = basis @ basis.T
+    first = [w[: WIDE - 1] for w in landmarks]
+    gram = np.stack([folded(first, spread(w)) for w in landmarks])
+    gram = (gram + gram.T) / 2
     values, vectors = np.linalg.eigh(gram.astype(float))
     keep = values > 1e-5 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -182,7 +183,7 @@ def fit(positive: list[str], negative: list[str], near: list[str]) -> Machine:
     weight = np.concatenate((np.ones(len(positive)), np.ones(len(more)), [8.0 if w in hard else 1.0 for w in negative]))
     for side in (y > 0, y < 0):
         weight[side] *= COST * len(y) / 2 / max(weight[side].sum(), 1e-9)
-    x = np.stack([folded(words, b) for b in basis], axis=1).astype(float) @ root
+    x = np.stack([folded(words, spread(w)) for w in landmarks], axis=1).astype(float) @ root  # a landmark's vector at a time
     # dual coordinate descent for the squared hinge loss; the last feature is the bias
     x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
     slack = 1 / (2 * weight)
@@ -195,7 +196,12 @@ def fit(positive: list[str], negative: list[str], near: list[str]) -> Machine:
                 w += (new - dual[i]) * y[i] * x[i]
                 dual[i] = new
     w, b = w[:-1], w[-1]
-    return Machine(((root @ w) @ basis).astype(np.float32), float(b))
+    weights = np.zeros(1 << 3 * BITS)
+    for c, landmark in zip(root @ w, landmarks, strict=True):
+        weights += c * spread(landmark)
+    del x
+    common.give_back()
+    return Machine(weights.astype(np.float32), float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Machine | None:
