@@ -7,9 +7,11 @@ gathers no rows. Inside `foreach` the same reducers fold an array.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,14 +108,41 @@ def summarize(df: DataFrame, keys, **reducers: Reducer) -> DataFrame:
     return df.groupBy(*V.fields(df, keys)).agg(*[r.over_rows(df).alias(n) for n, r in reducers.items()])
 
 
+class Reductions:
+    """Results of reducers amid a pipeline, by instance; each is there once a job has run the rows it observes."""
+
+    def __init__(self) -> None:
+        self._found: dict[str, Callable[[], list]] = {}
+        self._schemas: dict[str, T.StructType] = {}
+
+    def put(self, instance: str, schema: T.StructType, values: Callable[[], list]) -> None:
+        if instance in self._found:
+            raise ValueError(f"two reducers named {instance}")
+        self._found[instance], self._schemas[instance] = values, schema
+
+    def rows(self, spark: SparkSession, instances: str | list[str] | None = None, pipe: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """REDUCE[:INSTANCES] EXP. A row an instance (all, if none are named), missing fields null, through `pipe`."""
+        names = list(self._found) if instances is None else [s.strip() for s in (instances.split(",") if isinstance(instances, str) else instances)]
+        made = [spark.createDataFrame([tuple(self._found[n]())], self._schemas[n]).select(F.lit(n).alias("instance"), "*") for n in names]
+        out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made) if made else spark.createDataFrame([], "instance string")
+        return pipe(out) if pipe else out
+
+
 def observed(df: DataFrame, name: str, **reducers: Reducer):
     """(`df` unchanged, an Observation of the reducers' results that fills as `df` is run)."""
-    from pyspark.sql import Observation
-
     seen = Observation(name)
     return df.observe(seen, *[r.over_rows(df).alias(n) for n, r in reducers.items()]), seen
 
 
+@operator("observe")
+def observe(df: DataFrame, instance: str, into: Reductions, **reducers: Reducer) -> DataFrame:
+    """The rows unchanged; the reducers' results over them come to `into` as the job runs, without a job of their own."""
+    seen, columns = Observation(), [r.over_rows(df).alias(n) for n, r in reducers.items()]
+    schema = df.agg(*columns).schema
+    into.put(instance, schema, lambda: [seen.get[n] for n in schema.names])
+    return df.observe(seen, *columns)
+
+
 @operator("uniq")
 def uniq(df: DataFrame, spec, count: str | None = None, retain_others: bool = False, order_by: list | None = None) -> DataFrame:
     """uniq:INPUTS. Distinct key fields; count names a field for the occurrences; retain_others keeps the first whole row."""

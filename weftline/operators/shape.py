@@ -208,21 +208,29 @@ def throttle(df: DataFrame, per_second: int) -> DataFrame:
 
 
 @operator("rest")
-def rest(df: DataFrame, endpoint: str, schema, batch_size: int = 30) -> DataFrame:
-    """rest://ENDPOINT. Posts batches of rows as JSON lines; the response's JSON lines replace them."""
+def rest(df: DataFrame, endpoint: str, schema, batch_size: int = 30, nv2: bool = False) -> DataFrame:
+    """rest://ENDPOINT. Posts batches of rows as JSON lines, or as nv2 text; the answer's records, in the same form,
+    replace them. Fields outside `schema` are dropped, missing ones null; an answer in nv2 holds texts."""
+    target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches):
         import json
         import urllib.request
 
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        from weftline.sources.formats import nv2_text, parse_nv2
+
+        kind, arrow = ("text/plain" if nv2 else "application/x-ndjson"), to_arrow_schema(target)
         for b in batches:
             for at in range(0, b.num_rows, batch_size):
-                body = "\n".join(json.dumps(r, default=str) for r in b.slice(at, batch_size).to_pylist()).encode()
-                with urllib.request.urlopen(urllib.request.Request(endpoint, body, {"Content-Type": "application/x-ndjson"})) as answer:
-                    rows = [json.loads(x) for x in answer.read().splitlines() if x.strip()]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows)
-
-    return df.mapInArrow(run, schema)
+                rows = b.slice(at, batch_size).to_pylist()
+                body = "".join(nv2_text(r) + "#\n" for r in rows) if nv2 else "\n".join(json.dumps(r, default=str) for r in rows)
+                with urllib.request.urlopen(urllib.request.Request(endpoint, body.encode(), {"Content-Type": kind})) as answer:
+                    text = answer.read().decode()
+                found = [parse_nv2(x) for x in re.split(r"(?m)^#", text)] if nv2 else [json.loads(x) for x in text.splitlines() if x.strip()]
+                if found := [r for r in found if r]:
+                    yield pa.RecordBatch.from_pylist(found, schema=arrow)
+
+    return df.mapInArrow(run, target)

@@ -2,8 +2,9 @@
 
     Pipeline().acceptIf("l_quantity > 30").add(revenue="l_extendedprice * (1 - l_discount)").run(df)
 
-Every step adds to one logical plan, which Spark optimises as a whole. Text arguments may hold
-${name} or ${name : default}; `bind` fills them.
+Every step adds to one logical plan, which Spark optimises as a whole. Text arguments may hold properties, which
+`bind` fills: ${name}; ${name : default}; ${name ? value:text value:text DEFAULT:text}. A default or text that
+begins with @ is the property of that name; references may stand in each other.
 """
 
 from __future__ import annotations
@@ -18,7 +19,29 @@ import weftline.sources.formats  # noqa: F401
 import weftline.sources.inline  # noqa: F401
 from weftline.registry import OPERATORS, operator
 
-_PROPERTY = re.compile(r"\$\{\s*(\w+)\s*(?::\s*([^}]*?)\s*)?\}")
+_PROPERTY = re.compile(r"\$\{\s*([\w.-]+)\s*(?:([:?])\s*([^{}$]*?)\s*)?\}")
+_DEPTH = 16
+
+
+def resolve(text: str, properties: dict[str, object]) -> str:
+    """`text` with its property references replaced, the innermost first."""
+
+    def given(v: str) -> str:
+        return str(properties[v[1:]]) if v.startswith("@") else v
+
+    def put(m: re.Match) -> str:
+        name, form, rest = m.groups()
+        if form == "?":
+            cases = dict(c.partition(":")[::2] for c in rest.split())
+            key = str(properties.get(name, "DEFAULT"))
+            return given(cases[key] if key in cases else cases["DEFAULT"])
+        return str(properties[name]) if name in properties or form is None else given(rest)
+
+    for _ in range(_DEPTH):
+        if not _PROPERTY.search(text):
+            return text
+        text = _PROPERTY.sub(put, text)
+    raise ValueError(f"properties that refer to themselves: {text}")
 
 
 class Pipeline:
@@ -42,15 +65,7 @@ class Pipeline:
 
         def fill(v):
             if isinstance(v, str):
-
-                def put(m: re.Match) -> str:
-                    if m[1] in properties:
-                        return str(properties[m[1]])
-                    if m[2] is None:
-                        raise KeyError(m[1])
-                    return m[2]
-
-                return _PROPERTY.sub(put, v)
+                return resolve(v, properties)
             if isinstance(v, (list, tuple)):
                 return type(v)(map(fill, v))
             return {k: fill(x) for k, x in v.items()} if isinstance(v, dict) else v.bind(**properties) if isinstance(v, Pipeline) else v

@@ -473,6 +473,40 @@ def format_txt(spark, sf):
     return formats.read_txt(spark, path)
 
 
+@query("select o_orderkey, o_custkey, o_orderstatus from orders")
+def format_by_name(spark, sf):
+    formats.write(t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path := f"{_shared_folder(spark)}.tsv")
+    return formats.read(spark, path)
+
+
+@query("select c_custkey, c_nationkey, c_name from customer")
+def json_retyped(spark, sf):
+    """Keys written as texts in sub-records and in arrays of arrays come back as numbers and flat."""
+    df = t(spark, sf, "customer").select(F.struct(F.col("c_custkey").cast("string").alias("key"), "c_name").alias("who"), F.array(F.array(F.col("c_nationkey").cast("string"))).alias("where"))
+    formats.write_json(df, path := _shared_folder(spark))
+    back = formats.read_json(spark, path, lines=True, retype=True)
+    return back.select(F.col("who.key").alias("c_custkey"), F.element_at("where", 1).alias("c_nationkey"), F.col("who.c_name").alias("c_name"))
+
+
+# --- results amid a pipeline, children of children ------------------------------------------------
+
+
+@query("select 'all' as instance, count(*) as n, sum(l_quantity) as total, cast(null as boolean) as any_late from lineitem union all select 'returned', count(*), null, bool_or(l_shipdate > date '1998-01-01') from lineitem where l_returnflag = 'R'")
+def reductions(spark, sf):
+    seen = A.Reductions()
+    formats.devnull(Pipeline().observe("all", seen, n=A.rec_count(), total=A.sum_of("l_quantity")).acceptIf("l_returnflag = 'R'").observe("returned", seen, n=A.rec_count(), any_late=A.any_of("l_shipdate > date'1998-01-01'")).run(t(spark, sf, "lineitem")))
+    return seen.rows(spark, "all,returned")
+
+
+@query("select l_orderkey, count(distinct l_returnflag) as flags, cast(sum(case when l_quantity > 10 then l_quantity else 0 end) as double) as large from lineitem group by 1")
+def foreach_nested(spark, sf):
+    """Orders hold flags, which hold lines: the lines of each flag are filtered and summed, then the flags."""
+    lines = t(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(F.struct("l_quantity")).alias("lines"))
+    df = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "lines")).alias("flag"))
+    large = lambda x: F.aggregate(F.filter(x["lines"], lambda g: g["l_quantity"] > 10), F.lit(0.0), lambda a, g: a + g["l_quantity"].cast("double"))
+    return nested.foreach(df, "flag", set_fields={"large": large}, flags=A.rec_count(), large=A.sum_of("large")).select("l_orderkey", "flags", "large")
+
+
 # --- values and windows ---------------------------------------------------------------------------
 
 

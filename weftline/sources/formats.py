@@ -8,11 +8,12 @@ import os
 import re
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import values as V
+from weftline.operators.aggregate import Reductions
 from weftline.registry import operator
 
 # --- types of text values -------------------------------------------------------------------------
@@ -27,62 +28,79 @@ def type_of(text: str) -> str:
     return "boolean" if text.lower() in ("true", "false") else "string"
 
 
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Types by the codes of their values, or-ed; other mixtures stay text.
+_KINDS = {1: "bigint", 2: "double", 3: "double", 4: "boolean"}
+
+
+def _code(c: Column) -> Column:
+    is_long = c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull()
+    is_double = c.rlike(_NUMBER) & c.rlike("[.eE]") & (F.abs(c.try_cast("double")) < float("inf"))
+    return F.when(c.isNull(), None).when(is_long, 1).when(is_double, 2).when(F.lower(c).isin("true", "false"), 4).otherwise(8)
+
+
 def infer(df: DataFrame, declared: dict[str, str] | None = None) -> DataFrame:
     """Text columns with one type each, inferred over all rows; long and double widen to double, other
     mixtures stay text. declared: types given by the user."""
     declared = declared or {}
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in declared]
-    number = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-    checks = []
-    for n in names:
-        c = F.col(n)
-        is_long = c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull()
-        is_double = c.rlike(number) & c.rlike("[.eE]") & (F.abs(c.try_cast("double")) < float("inf"))
-        code = F.when(c.isNull(), None).when(is_long, 1).when(is_double, 2).when(F.lower(c).isin("true", "false"), 4).otherwise(8)
-        checks.append(F.bit_or(code).alias(n))
-    if checks:
-        row = df.agg(*checks).first()
-        kinds = {1: "bigint", 2: "double", 3: "double", 4: "boolean"}
-        declared = {**{n: kinds[row[n]] for n in names if row[n] in kinds}, **declared}
+    if names:
+        row = df.agg(*[F.bit_or(_code(F.col(n))).alias(n) for n in names]).first()
+        declared = {**{n: _KINDS[row[n]] for n in names if row[n] in _KINDS}, **declared}
     return df.withColumns({n: F.col(n).try_cast(t) for n, t in declared.items() if n in df.columns})
 
 
+def _chosen(spark: SparkSession, path: str, allow_missing: bool = False, valid_regex: str | None = None) -> str | list[str]:
+    """The path, or those of its files that match; nothing where it may be missing and is."""
+    if not (allow_missing or valid_regex):
+        return path
+    files = _files(spark, path)
+    if not files and not allow_missing:
+        raise FileNotFoundError(path)
+    return [f for f in files if not valid_regex or re.search(valid_regex, f)]
+
+
 def _lines(spark: SparkSession, path: str, sep: str | None = None, allow_missing: bool = False, valid_regex: str | None = None) -> DataFrame:
     reader = spark.read if sep is None else spark.read.option("lineSep", sep)
-    paths: list[str] | str = path
-    if allow_missing or valid_regex:
-        paths = [f for f in _files(spark, path) if not valid_regex or re.search(valid_regex, f)]
-        if not paths:
-            if not allow_missing and not _files(spark, path):
-                raise FileNotFoundError(path)
-            return spark.createDataFrame([], "value string")
-    return reader.text(paths)
+    paths = _chosen(spark, path, allow_missing, valid_regex)
+    return reader.text(paths) if paths else spark.createDataFrame([], "value string")
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """The files that a path, folder or pattern stands for, in any store that Spark reads."""
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path with its scheme and from the root."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(conf)
-    found = []
-    for top in fs.globStatus(where) or []:
+    return fs, fs.makeQualified(where).toString()
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, folder or pattern stands for, in any store that Spark reads."""
+    (fs, _), found = _hadoop(spark, path), []
+    for top in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)) or []:
         for f in fs.listStatus(top.getPath()) if top.isDirectory() else [top]:
             if f.isFile() and f.getPath().getName()[0] not in "._":
                 found.append(f.getPath().toString())
     return sorted(found)
 
 
+#: Where a row stands: its file, the beginning of the part of the file that a task reads, and the place in that.
+_PLACE = {"__file": F.input_file_name, "__from": F.input_file_block_start, "__at": F.monotonically_increasing_id}
+
+
 def with_errors_allowed(df: DataFrame, bad, allow_errors: int) -> DataFrame:
     """Rows of `df` under the rule for errors: with 0 the first bad row fails the job; with N a file's first
-    N - 1 bad rows are skipped and its rest, from the Nth on, is left out."""
+    N - 1 bad rows are skipped and its rest, from the Nth on, is left out.
+
+    Only the bad rows are ranked; the place of the Nth of each file that has one is joined to the rows."""
     if allow_errors <= 0:
         return df.filter(F.when(bad, F.raise_error(F.lit("bad record")).cast("boolean")).otherwise(True))
-    from pyspark.sql import Window
-
-    place = Window.partitionBy("__file").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = df.withColumns({"__file": F.input_file_name(), "__at": F.monotonically_increasing_id(), "__bad": F.coalesce(bad, F.lit(False))})
-    counted = numbered.withColumn("__n", F.sum(F.col("__bad").cast("int")).over(place))
-    return counted.filter((F.col("__n") < allow_errors) & ~F.col("__bad")).drop("__file", "__at", "__bad", "__n")
+    placed = df.withColumns({n: f() for n, f in _PLACE.items() if n not in df.columns}).withColumn("__bad", F.coalesce(bad, F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("__file").orderBy("__from", "__at"))
+    ends = placed.filter("__bad").select("__file", "__from", "__at").withColumn("__n", rank).filter(F.col("__n") == allow_errors)
+    ends = ends.select(F.col("__file").alias("__ended"), F.struct("__from", "__at").alias("__end"))
+    rows = placed.join(ends, F.col("__file") == F.col("__ended"), "left")
+    return rows.filter(~F.col("__bad") & (F.col("__end").isNull() | (F.struct("__from", "__at") < F.col("__end")))).select(*[c for c in df.columns if c not in _PLACE])
 
 
 # --- nv2 ------------------------------------------------------------------------------------------
@@ -126,22 +144,32 @@ def _from_json(df: DataFrame, schema, declared: dict[str, str] | None) -> DataFr
 
 
 @operator("nv2", "source")
-def read_nv2(spark: SparkSession, path: str, schema=None, declared: dict[str, str] | None = None, **common) -> DataFrame:
-    """PATH.nv2. name:value lines; a line that begins with # ends a record."""
-    raw = _lines(spark, path, "\n#", **common)
+def read_nv2(spark: SparkSession, path: str, schema=None, declared: dict[str, str] | None = None, allow_errors: int = 0, **common) -> DataFrame:
+    """PATH.nv2. name:value lines; a line that begins with # ends a record; lines without a colon and lines that are
+    too deep are errors."""
+    raw = _lines(spark, path, "\n#", **common).withColumns({n: f() for n, f in _PLACE.items()})
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for v in b.column(0).to_pylist():
-                rec = parse_nv2(v[1:] if v.startswith("#") else v)
+            out, kept = [], []
+            for i, v in enumerate(b.column(0).to_pylist()):
+                try:
+                    rec = parse_nv2(v[1:] if v.startswith("#") else v)
+                except ValueError:
+                    if allow_errors <= 0:
+                        raise
+                    out.append(None)
+                    kept.append(i)
+                    continue
                 if rec is not None:
                     out.append(json.dumps(rec))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *[b.column(c).take(pa.array(kept, pa.int64())) for c in (1, 2, 3)]], names=["value", *_PLACE])
 
-    return _from_json(raw.mapInArrow(run, "value string"), schema, declared)
+    parsed = raw.mapInArrow(run, "value string, __file string, __from bigint, __at bigint")
+    return _from_json(with_errors_allowed(parsed, F.col("value").isNull(), allow_errors).select("value"), schema, declared)
 
 
 def nv2_text(rec: dict, depth: int = 0) -> str:
@@ -168,24 +196,78 @@ def write_nv2(df: DataFrame, path: str, **kw) -> None:
     _write(df.mapInArrow(run, "value string"), "text", path, **kw)
 
 
-def _write(df: DataFrame, kind: str, path: str, gzip: bool = True, as_file: bool = False, overwrite: bool = False, options: dict | None = None) -> None:
+def _write(df: DataFrame, kind: str, path: str, gzip: bool = True, as_file: bool = False, overwrite: bool = False, options: dict | None = None, pri: tuple[str, Reductions] | None = None) -> None:
+    """pri: an instance and the Reductions that get a row with the absolute path under that name."""
     df = df.coalesce(1) if as_file else df
     writer = df.write.mode("overwrite" if overwrite else "errorifexists").format(kind).options(**(options or {}))
     (writer if kind == "parquet" else writer.option("compression", "gzip" if gzip else "none")).save(path)
+    if pri:
+        _, where = _hadoop(df.sparkSession, path)
+        pri[1].put(pri[0], T.StructType([T.StructField("path", T.StringType())]), lambda: [where])
 
 
 # --- the others -----------------------------------------------------------------------------------
 
 
 @operator("json", "source")
-def read_json(spark: SparkSession, path: str, lines: bool = False, schema=None, retype: bool = False, **common) -> DataFrame:
+def read_json(spark: SparkSession, path: str, lines: bool = False, schema=None, retype: bool = False, allow_errors: int = 0, allow_missing: bool = False, valid_regex: str | None = None) -> DataFrame:
     """PATH.json. An array of objects, {"name": [...]} around one, or JSON lines. retype: texts that look like
-    numbers become numbers."""
+    numbers become numbers at every depth, and arrays in arrays become one. A text that isn't JSON is an error; without
+    lines a file is one text, so that with allow_errors a bad file has no rows."""
+    paths = _chosen(spark, path, allow_missing, valid_regex)
+    if not paths:
+        return spark.createDataFrame([], schema or T.StructType([]))
     reader = spark.read.option("multiLine", not lines)
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
+    if lines and allow_errors > 0:
+        found = schema if schema is not None else reader.option("mode", "DROPMALFORMED").json(paths).schema
+        found = T.StructType.fromDDL(found) if isinstance(found, str) else found
+        wide = T.StructType([*found.fields, T.StructField("__wrong", T.StringType())])
+        df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__wrong").schema(wide).json(paths)
+        wrong = F.col("__wrong").isNotNull()
+        for c in found.names:  # whether a text is wrong depends on the columns read, so all are, wherever it is asked
+            wrong = wrong | (F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) < 0)
+        df = with_errors_allowed(df, wrong, allow_errors).select(*found.names)
+    else:
+        reader = reader.option("mode", "DROPMALFORMED" if allow_errors > 0 else "FAILFAST")
+        df = (reader.schema(schema) if schema is not None else reader).json(paths)
     if not lines and len(df.columns) == 1 and V.is_multi(df, df.columns[0]) and V.is_record(df, df.columns[0]):
         df = df.select(F.explode(df.columns[0]).alias("r")).select("r.*")
-    return infer(df) if retype else df
+    return retyped(df) if retype else df
+
+
+def _rebuilt(c: Column, t: T.DataType, path: tuple[str, ...], leaf) -> Column:
+    """A column with arrays in arrays flattened and its texts passed through leaf(column, path)."""
+    while isinstance(t, T.ArrayType) and isinstance(t.elementType, T.ArrayType):
+        c, t = F.flatten(F.array_compact(c)), t.elementType
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _rebuilt(x, t.elementType, path, leaf))
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_rebuilt(c[f.name], f.dataType, (*path, f.name), leaf).alias(f.name) for f in t.fields]))
+    return leaf(c, path) if isinstance(t, T.StringType) else c
+
+
+def _texts(c: Column, t: T.DataType, path: tuple[str, ...]) -> list[tuple[tuple[str, ...], Column]]:
+    """All texts within a column, as an array for each path of names."""
+    if isinstance(t, T.ArrayType):
+        inner = _texts(F.lit(None), t.elementType, path)
+        parts = {p: i for i, (p, _) in enumerate(inner)}
+        gather = lambda i: F.flatten(F.transform(F.array_compact(c), lambda x: _texts(x, t.elementType, path)[i][1]))
+        return [(p, F.coalesce(gather(i), F.array().cast("array<string>"))) for p, i in parts.items()]
+    if isinstance(t, T.StructType):
+        return [x for f in t.fields for x in _texts(c[f.name] if c is not None else c, f.dataType, (*path, f.name))]
+    return [(path, F.array_compact(F.array(c.cast("string"))))] if isinstance(t, T.StringType) else []
+
+
+def retyped(df: DataFrame) -> DataFrame:
+    """Texts at every depth take the type that all values under their name have; arrays in arrays become one."""
+    texts = [x for f in df.schema.fields for x in _texts(F.col(f.name), f.dataType, (f.name,))]
+    kinds: dict[tuple[str, ...], str] = {}
+    if texts:
+        codes = [F.bit_or(F.aggregate(c, F.lit(0), lambda a, x: a.bitwiseOR(_code(x)))).alias(str(i)) for i, (_, c) in enumerate(texts)]
+        seen = df.agg(*codes).first()
+        kinds = {p: _KINDS[seen[i]] for i, (p, _) in enumerate(texts) if seen[i] in _KINDS}
+    cast = lambda c, path: c.try_cast(kinds[path]) if path in kinds else c
+    return df.select(*[_rebuilt(F.col(f.name), f.dataType, (f.name,), cast).alias(f.name) for f in df.schema.fields])
 
 
 @operator("write_json", "sink")
@@ -200,15 +282,18 @@ def write_json(df: DataFrame, path: str, lines: bool = True, **kw) -> None:
 
 
 @operator("tsv", "source")
-def read_tsv(spark: SparkSession, path: str, fields: list[str] | None = None, delim: str = "\t", no_empty: bool = False, declared: dict[str, str] | None = None, allow_errors: int = 0) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, fields: list[str] | None = None, delim: str = "\t", no_empty: bool = False, declared: dict[str, str] | None = None, allow_errors: int = 0, **common) -> DataFrame:
     """PATH.tsv. A header in each file (blanks become _), the first one's names for all, or `fields` and no header; no
     quoting; blank lines are skipped; rows of another width are errors."""
-    names = fields or [x.replace(" ", "_") for x in (spark.read.text(path).filter("value <> ''").first() or [""])[0].split(delim)]
+    paths = _chosen(spark, path, **common)
+    if not paths:
+        return spark.createDataFrame([], ", ".join(f"`{n}` string" for n in fields or []) or T.StructType([]))
+    names = fields or [x.replace(" ", "_") for x in (spark.read.text(paths).filter("value <> ''").first() or [""])[0].split(delim)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "__wrong")])
     options = {"sep": delim, "header": str(fields is None).lower(), "quote": "", "nullValue": "\x01", "emptyValue": "", "columnNameOfCorruptRecord": "__wrong", "columnPruning": "false"}
     # Spark refuses to read the column of wrong rows alone, so the condition names another as well
     wrong = F.col("__wrong").isNotNull() | (F.length(F.coalesce(names[0], F.lit(""))) < 0)
-    rows = with_errors_allowed(spark.read.options(**options).csv(path, schema), wrong, allow_errors)
+    rows = with_errors_allowed(spark.read.options(**options).csv(paths, schema), wrong, allow_errors)
     out = rows.select(*[F.coalesce(n, F.lit("")).alias(n) for n in names])  # a cell without characters is read as null
     if no_empty:
         out = out.withColumns({n: F.when(F.col(n) != "", F.col(n)) for n in names})
@@ -272,27 +357,38 @@ def _nvp_parser(subs: tuple[str, ...], sub_fields: tuple[str, ...]):
 
 
 @operator("djf", "source")
-def read_djf(spark: SparkSession, path: str, keys: tuple[str, ...] = (), subs: tuple[str, ...] = NVP_SUBS, sub_fields: tuple[str, ...] = NVP_FIELDS, schema=None, declared: dict[str, str] | None = None) -> DataFrame:
+def read_djf(spark: SparkSession, path: str, keys: tuple[str, ...] = (), subs: tuple[str, ...] = NVP_SUBS, sub_fields: tuple[str, ...] = NVP_FIELDS, schema=None, declared: dict[str, str] | None = None, allow_errors: int = 0) -> DataFrame:
     """PATH.djf. Per record: with `keys`, a length and the key values by bars; a length and a deflated nvp record.
 
-    Lengths are 32-bit big-endian. A file is read by one task.
+    Lengths are 32-bit big-endian. A file is read by one task. Another number of key values, what can't be inflated and
+    a record cut short are errors.
     """
     parse = _nvp_parser(subs, sub_fields)
 
+    def chunk(data: bytes, at: int) -> tuple[bytes, int]:
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        return data[at + 4 : end], end
+
     def records(data: bytes):
-        at = 0
-        while at + 4 <= len(data):
-            key = None
+        at, left = 0, allow_errors
+        while at < len(data):
+            key = b""
             if keys:
-                n = int.from_bytes(data[at : at + 4], "big")
-                key = data[at + 4 : at + 4 + n].decode().split("|")
-                at += 4 + n
-                if len(key) != len(keys):
-                    raise ValueError(f"key values {key} for {keys}")
-            n = int.from_bytes(data[at : at + 4], "big")
-            rec = parse(zlib.decompress(data[at + 4 : at + 4 + n]).decode()) or {}
-            at += 4 + n
-            yield {**rec, **(dict(zip(keys, key, strict=True)) if key else {})}
+                key, at = chunk(data, at)
+            body, at = chunk(data, at)
+            try:
+                values = key.decode().split("|") if keys else []
+                if at > len(data) or len(values) != len(keys):
+                    raise ValueError(f"a record cut short, or key values {values} for {keys}")
+                rec = parse(zlib.decompress(body).decode()) or {}
+            except (ValueError, zlib.error):
+                left -= 1
+                if allow_errors <= 0:
+                    raise
+                if left == 0:
+                    return
+                continue
+            yield {**rec, **dict(zip(keys, values, strict=True))}
 
     def run(batches):
         import pyarrow as pa
@@ -319,6 +415,56 @@ def read_nvp(spark: SparkSession, path: str, subs: tuple[str, ...] = NVP_SUBS, s
     return _from_json(_lines(spark, path, "---:", **common).mapInArrow(run, "value string"), schema, declared)
 
 
+# --- by name or extension -------------------------------------------------------------------------
+
+
+def _extension(path: str) -> str | None:
+    """The format that the end of a path names, compression and a closing / apart."""
+    end = re.sub(r"\.(gz|bz2)$", "", path.rstrip("/")).rpartition("/")[2].rpartition(".")
+    return _EXTENSIONS.get(end[2].lower()) if end[1] else None
+
+
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """Whether JSON files hold an object a line, by their first line."""
+    first = (spark.read.text(path).filter(F.trim("value") != "").first() or [""])[0].strip()
+    try:
+        top = json.loads(first)
+    except ValueError:
+        return False
+    wrapper = isinstance(top, dict) and len(top) == 1 and isinstance(next(iter(top.values())), list)
+    return isinstance(top, dict) and not wrapper
+
+
+@operator("read", "source")
+def read(spark: SparkSession, path: str, format: str | None = None, **kw) -> DataFrame:
+    """PATH[?format=F]. Files of the format named, or that the extension of the path or of its files names.
+
+    A folder without an extension, written as text, needs `format`. JSON is taken as lines by its first line, unless
+    `lines` says so. A path that may be missing, without a format, is an empty table."""
+    kind = format or _extension(path) or next(filter(None, map(_extension, _files(spark, path))), None)
+    if kind is None:
+        if kw.get("allow_missing") and not _files(spark, path):
+            return spark.createDataFrame([], T.StructType([]))
+        raise ValueError(f"no format in {path}")
+    if kind == "json" and "lines" not in kw and (_files(spark, path) or not kw.get("allow_missing")):
+        kw["lines"] = _is_lines(spark, path)
+    return _READERS[kind](spark, path, **kw)
+
+
+@operator("write", "sink")
+def write(df: DataFrame, path: str, format: str | None = None, **kw) -> None:
+    """PATH.FORMAT. Writes in the format named, or that the extension of the path names."""
+    kind = format or _extension(path)
+    if kind not in _WRITERS:
+        raise ValueError(f"no format to write in {path}")
+    _WRITERS[kind](df, path, **kw)
+
+
+_READERS = {"nv2": read_nv2, "json": read_json, "tsv": read_tsv, "txt": read_txt, "nat": read_nat, "nvp": read_nvp, "djf": read_djf}
+_WRITERS = {"nv2": write_nv2, "json": write_json, "tsv": write_tsv, "txt": write_txt, "nat": write_nat}
+_EXTENSIONS = {**{k: k for k in _READERS}, "jsonl": "json", "ndjson": "json", "csv": "tsv", "parquet": "nat"}
+
+
 # --- keyed stores, lineage and other sinks --------------------------------------------------------
 
 
