@@ -48,6 +48,17 @@ def test_report(spark):
     assert [tuple(r) for r in counts] == [(6, "6")] and seen.rows().select("execution").distinct().count() == 1
 
 
+def test_origin_of_written_rows(spark, tmp_path):
+    for end in ("nv2", "tsv", "json", "txt", "nat"):
+        path = str(tmp_path / f"x.{end}")
+        formats.write(spark.range(7).filter("id > 1"), path, report="rows above 1")
+        row = formats.origin(spark, path).first()
+        assert (row.records, row.expression, row.names) == (5, "rows above 1", ["id"])
+        assert formats.read(spark, path).count() == 5
+    formats.write(spark.range(0), str(tmp_path / "none.nat"), report="")
+    assert formats.origin(spark, str(tmp_path / "none.nat")).first().records == 0
+
+
 def test_formats_by_name(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     for end in ("nv2", "tsv", "json", "parquet"):

@@ -8,7 +8,7 @@ import os
 import re
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -452,12 +452,18 @@ def read(spark: SparkSession, path: str, format: str | None = None, **kw) -> Dat
 
 
 @operator("write", "sink")
-def write(df: DataFrame, path: str, format: str | None = None, **kw) -> None:
-    """PATH.FORMAT. Writes in the format named, or that the extension of the path names."""
+def write(df: DataFrame, path: str, format: str | None = None, report: str | None = None, **kw) -> None:
+    """PATH.FORMAT. Writes in the format named, or that the extension of the path names. report: a text on the job,
+    kept beside the rows with their number, fields and plan, for `origin`; the rows are counted as they are written."""
     kind = format or _extension(path)
     if kind not in _WRITERS:
         raise ValueError(f"no format to write in {path}")
-    _WRITERS[kind](df, path, **kw)
+    if report is None:
+        _WRITERS[kind](df, path, **kw)
+        return
+    seen = Observation()
+    _WRITERS[kind](df.observe(seen, F.count(F.lit(1)).alias("records")), path, **kw)
+    write_report(df, path, report, seen.get["records"])
 
 
 _READERS = {"nv2": read_nv2, "json": read_json, "tsv": read_tsv, "txt": read_txt, "nat": read_nat, "nvp": read_nvp, "djf": read_djf}
@@ -515,11 +521,11 @@ def devnull(df: DataFrame) -> None:
 
 
 @operator("write_report", "sink")
-def write_report(df: DataFrame, path: str, expression: str = "") -> None:
-    """Beside a written PATH, a record of the job: columns, plan and expression (read by `origin`)."""
+def write_report(df: DataFrame, path: str, expression: str = "", records: int | None = None) -> None:
+    """Beside a written PATH, a record of the job: columns, plan, expression and number of rows (read by `origin`)."""
     spark = df.sparkSession
-    row = [(path, expression, df.columns, [t for _, t in df.dtypes], df._jdf.queryExecution().simpleString())]
-    spark.createDataFrame(row, "path string, expression string, names array<string>, types array<string>, plan string").coalesce(1).write.mode("overwrite").json(os.path.join(path, "_report"))
+    row = [(path, expression, records, df.columns, [t for _, t in df.dtypes], df._jdf.queryExecution().simpleString())]
+    spark.createDataFrame(row, "path string, expression string, records bigint, names array<string>, types array<string>, plan string").coalesce(1).write.mode("overwrite").json(os.path.join(path, "_report"))
 
 
 @operator("origin", "source")
