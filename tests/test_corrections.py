@@ -1,6 +1,7 @@
 """Cases that once went wrong: readers of tsv, regular expressions, hashes, samples, statistics."""
 
 import pytest
+from weftline.operators import aggregate as A
 from weftline.operators import order, shape, stats
 from weftline.sources import formats
 
@@ -50,3 +51,13 @@ def test_deviation_of_large_means_and_percentiles(spark):
     row = stats.stats_of(spark.createDataFrame([(v,) for v in values], "v long"), "v").first()
     ranked = sorted(values)
     assert all(row[k] == ranked[int(p * len(ranked))] for k, p in stats.PERCENTILES.items())
+
+
+def test_sums_of_amounts_are_exact_in_any_order(spark):
+    # 2.5 in amounts; added up as doubles it comes to 2.4999999999999996
+    values = [0.7] * 3 + [0.4]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, v) for v in (1e300, 0.25, -1e300)] + [(3, None), (4, float("inf")), (5, 1e-9), (5, 1e-9)], "k long, v double").coalesce(1)
+    rows = {r.k: r for r in A.summarize(df, "k", total=A.sum_of("v")).collect()}
+    assert rows[1].total == 2.5 and rows[2].total in (0.0, 0.25) and rows[3].total == 0.0 and rows[4].total == float("inf") and rows[5].total == 2e-9
+    assert A.reduce_all(df.filter("k = 1"), n=A.sum_of("v", as_long=True)).first().n == 3
+    assert A.reduce_all(df.filter("k = 9"), n=A.sum_of("v")).first().n == 0.0
