@@ -456,3 +456,18 @@ def test_pipeline(spark, sf, tmp_path):
             assert docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     assert docs.filter("not round_trip").count() == 0
     assert counts[0] < 1000 and counts[1] < counts[0] and counts[2] == counts[1] <= counts[3] == counts[4]
+
+
+def test_decoding_at_once_agrees(model, monkeypatch):
+    own, rng = pieces.ready(model), random.Random(2)
+    texts = [t for t in ODD if t is not None] + ["tab\there 🙂", " ", "  two", "▁ mark", "€" * 60] * 3
+    ids = pieces._encoded(pa.array([None, *texts]), model, {})
+    assert pieces._decoded(ids, model).to_pylist() == own.decode(ids.to_pylist()) == [None, *texts]
+    rows = [[rng.randrange(len(own.names)) if rng.random() < 0.5 else rng.choice(own.bytes) for _ in range(rng.randrange(6))] for _ in range(200)]
+    for row in rows:  # sequences that no text has, rows that would go on where one ends
+        two = pa.array([row, own.spelt("é")[:1], own.spelt("é")[1:], None, []], pa.list_(pa.int32()))
+        assert pieces._decoded(two, model).to_pylist() == own.decode(two.to_pylist())
+        assert pieces._decoded(pa.array([row]), model).to_pylist() == own.decode([row])
+    # valid texts with byte pieces need no loop over their ids
+    monkeypatch.setattr(pieces.Pieces, "decode", None)
+    assert pieces._decoded(ids, model).to_pylist() == [None, *texts]

@@ -183,6 +183,10 @@ class Pieces:
         self.unit = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if cut else re.compile(r"(?s).+")
         self.byte_of = {i: b for b, i in found.items()}
         self.text_of = [MARK if k == USER and n == MARK else "" if k in (CONTROL, UNUSED) else n for n, k in zip(self.names, self.kinds.tolist(), strict=True)]
+        written = [bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(MARK, " ").encode("utf-8", "replace") for i, t in enumerate(self.text_of)]
+        self.blob, self.extent = np.frombuffer(b"".join(written), np.uint8), np.fromiter(map(len, written), np.int32, len(written))
+        self.place = np.cumsum(self.extent, dtype=np.int32) - self.extent
+        self.blank = np.fromiter((w[:1] == b" " for w in written), bool, len(written))
 
     def spelt(self, chars: str) -> list[int]:
         return [self.bytes[b] for b in chars.encode("utf-8", "replace")] if self.has_bytes else [self.unknown]
@@ -350,6 +354,31 @@ class Pieces:
             out.append(text[1:] if text[:1] == " " else text)
         return out
 
+    def decode_bytes(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(UTF-8 bytes, row offsets) of rows of `size` ids each, all at once; None if any row takes more care: ids that
+        the model lacks, pieces that stand for nothing (they part the bytes around them) and invalid sequences."""
+        if len(flat) and not 0 <= int(flat.min()) <= int(flat.max()) < len(self.extent):
+            return None
+        n, start, ends = self.extent[flat], self.place[flat], np.cumsum(size)
+        if not n.all():
+            return None
+        first = (ends - size)[size > 0]
+        lead = self.blank[flat[first]].astype(np.int32)
+        n[first] -= lead
+        start[first] += lead
+        to = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        if to[-1] >= 1 << 31:
+            return None
+        data = self.blob[np.repeat(start - to[:-1].astype(np.int32), n) + np.arange(to[-1], dtype=np.int32)]
+        at = to[np.concatenate(([0], ends))].astype(np.int32)
+        if (data[at[:-1][np.diff(at) > 0]] & 0xC0 == 0x80).any():  # a row may not go on with a character of the one before
+            return None
+        try:
+            str(data.data, "utf-8")
+        except UnicodeDecodeError:
+            return None
+        return data, at
+
 
 @contextmanager
 def _uncollected():
@@ -384,11 +413,15 @@ def _encoded(texts: pa.Array, model: bytes, cache: dict[str, list[int]]) -> pa.A
 
 
 def _decoded(ids: pa.Array, model: bytes) -> pa.Array:
-    flat, at = ids.flatten().to_pylist(), ids.offsets.to_numpy()
+    flat, at = ids.flatten(), ids.offsets.to_numpy()
     valid = ids.is_valid().to_pylist()
     # what flatten leaves out of null rows has no place in the offsets
     size = np.where(valid, np.diff(at), 0)
-    end = np.cumsum(size).tolist()
+    found = None if flat.null_count or not pa.types.is_integer(flat.type) else ready(model).decode_bytes(flat.to_numpy(), size)
+    if found:
+        mask = None if all(valid) else pa.array(valid).buffers()[1]
+        return pa.Array.from_buffers(pa.string(), len(ids), [mask, pa.py_buffer(found[1]), pa.py_buffer(found[0])])
+    flat, end = flat.to_pylist(), np.cumsum(size).tolist()
     return pa.array(ready(model).decode([flat[e - n : e] if v else None for v, e, n in zip(valid, end, size.tolist(), strict=True)]), pa.string())
 
 
