@@ -471,3 +471,17 @@ def test_decoding_at_once_agrees(model, monkeypatch):
     # valid texts with byte pieces need no loop over their ids
     monkeypatch.setattr(pieces.Pieces, "decode", None)
     assert pieces._decoded(ids, model).to_pylist() == [None, *texts]
+
+
+def test_every_document_counts_for_training(spark):
+    texts = ["a plain line of text"] * 8000 + [f"call tel. 030 1234 {i:04d}" for i in range(20)]
+    assert "phone" in pii.train(frame(spark, texts))[1]
+
+
+def test_training_beside_the_executors_agrees(spark, documents, monkeypatch):
+    docs = documents.select("doc_id", "text")
+    model, limits = pii.train(docs)
+    monkeypatch.setattr(pii, "GATHERED", 0)
+    monkeypatch.setattr(pii, "TREES", 3)
+    apart, _ = pii.train(docs)
+    assert len(model.trees) == 40 and limits and model.start == apart.start and model.trees[:3] == apart.trees

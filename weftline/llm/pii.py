@@ -6,14 +6,15 @@ numbers without a plus sign, labelled secrets: the value only, and access keys b
 format and its context; the spans whose calibrated score reaches the threshold of their kind are kept,
 best first, as far as they don't overlap. Base spans are always kept.
 
-The trees are trained here on proposals of a sample of documents (each with probability `SAMPLE` /
-documents, by hash; at most 8 * `SAMPLE` proposals, by hash). Positive are base spans, loose proposals
+The trees are trained here on the proposals of all documents. Features are whole numbers, so equal examples are
+folded and counted; trees grow by sums over their bins, in the driver as long as there are at most `GATHERED`
+different examples and beside the executors' parts of them beyond, with the same result. Positive are base spans, loose proposals
 that have the form of their kind and a cue before them, and base spans rewritten the loose way
 (`rewritten`). Negative are proposals that fail the check of their form, numbers with neither a cue nor
 the layout of a phone number, and rewritten numbers and values that are put so. Any other loose proposal is
 unlabelled and not trained on, so that a form is not lost by being common. The threshold of a kind is
 the lowest at which at least `PRECISION` of the loose proposals of that kind above it are positive (half-way
-to the next proposal, 0.5 at least); a kind with fewer than 20 of them, or without such a threshold, adds nothing.
+to the next score, scores taken to 2^-16; 0.5 at least); a kind with fewer than 20 of them, or without such a threshold, adds nothing.
 
 Positions are code points, ends exclusive. Null text counts as empty: no spans. Equal texts have
 equal spans whatever their rows. Extra columns are ignored; an empty table gives no rows.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,10 @@ from weftline.llm import common
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-SAMPLE, PRECISION, TREES, DEPTH, RATE = 6000, 0.995, 40, 3, 0.3
+PRECISION, TREES, DEPTH, RATE = 0.995, 40, 3, 0.3
+#: Up to so many different examples (of about 200 bytes) are sent to the driver.
+GATHERED = 50_000
+BINS, FIXED, SCORES = 16, 1 << 20, 1 << 16
 
 # e-mail patterns are anchored at the at sign, so that a long run of characters is read once
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -239,83 +244,134 @@ def describe(text: str, span: tuple[str, int, int]) -> list[float]:
 class Boosted:
     """Logistic gradient boosting with small regression trees on binned features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.start, self.trees = 0.0, []
-        if not len(y):
-            return
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.start = float(np.log(rate / (1 - rate)))
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1], method="lower")) for j in range(x.shape[1])]
-        f = np.full(len(y), self.start)
+    def __init__(self, rate: float) -> None:
+        rate = min(max(rate, 1e-3), 1 - 1e-3)
+        self.start, self.trees = float(np.log(rate / (1 - rate))), []
+
+    @classmethod
+    def fitted(cls, sums, cuts: list[np.ndarray], rate: float) -> Boosted:
+        """`sums` adds up what a function makes of parts of the examples."""
+        model = cls(rate)
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-f))
-            tree = self._grow(x, y - p, p * (1 - p), np.ones(len(y), bool), DEPTH, cuts)
-            self.trees.append(tree)
-            f += self._apply(tree, x)
-
-    def _grow(self, x, g, h, rows, depth, cuts):
-        leaf = RATE * g[rows].sum() / (h[rows].sum() + 1.0)
-        if depth == 0 or rows.sum() < 20:
-            return float(leaf)
-        total = g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
-        best = (1e-6, None, None)
-        for j, points in enumerate(cuts):
-            for c in points:
-                low = rows & (x[:, j] <= c)
-                high = rows & ~low
-                gain = g[low].sum() ** 2 / (h[low].sum() + 1.0) + g[high].sum() ** 2 / (h[high].sum() + 1.0) - total
-                if gain > best[0]:
-                    best = (gain, j, c)
-        if best[1] is None:
-            return float(leaf)
-        low = x[:, best[1]] <= best[2]
-        return (best[1], float(best[2]), self._grow(x, g, h, rows & low, depth - 1, cuts), self._grow(x, g, h, rows & ~low, depth - 1, cuts))
-
-    def _apply(self, tree, x):
-        if isinstance(tree, float):
-            return np.full(len(x), tree)
-        j, c, low, high = tree
-        return np.where(x[:, j] <= c, self._apply(low, x), self._apply(high, x))
+            splits: dict[int, tuple[int, float]] = {}
+            leaf = {1: 0.0}
+            level = [1]
+            for _ in range(DEPTH):
+                tree = _nested(splits, lambda node: node)
+                found = sums(lambda x, y, n, tree=tree, level=level: histogram(x, y, n, model, tree, level, cuts))
+                level = [child for node, own in zip(level, found, strict=True) for child in model._split(node, own, cuts, splits, leaf)]
+                if not level:
+                    break
+            model.trees.append(_nested(splits, leaf.__getitem__))
+        return model
+
+    @staticmethod
+    def _split(node: int, own: np.ndarray, cuts: list[np.ndarray], splits: dict, leaf: dict) -> list[int]:
+        """The children of a node, from its sums of gradients, weights and examples by feature and bin."""
+        (g, h, n), (low_g, low_h, _) = own[:, 0].sum(1), np.cumsum(own, axis=2)[:, :, :-1]
+        leaf[node] = RATE * g / (h + 1.0)
+        if n < 20:
+            return []
+        gain = low_g**2 / (low_h + 1.0) + (g - low_g) ** 2 / (h - low_h + 1.0) - g**2 / (h + 1.0)
+        gain[np.arange(BINS - 1) >= np.array([len(c) for c in cuts])[:, None]] = -np.inf
+        j, c = np.unravel_index(gain.argmax(), gain.shape)
+        if gain[j, c] <= 1e-6:
+            return []
+        splits[node] = (int(j), float(cuts[j][c]))
+        leaf[2 * node] = RATE * low_g[j, c] / (low_h[j, c] + 1.0)
+        leaf[2 * node + 1] = RATE * (g - low_g[j, c]) / (h - low_h[j, c] + 1.0)
+        return [2 * node, 2 * node + 1]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         f = np.full(len(x), self.start)
         for tree in self.trees:
-            f += self._apply(tree, x)
+            f += _apply(tree, x)
         return 1 / (1 + np.exp(-f))
 
 
-def train(docs: DataFrame, *, sample: int = SAMPLE) -> tuple[Boosted, dict[str, float]]:
+def _nested(splits: dict[int, tuple[int, float]], leaf, node: int = 1):
+    return (*splits[node], _nested(splits, leaf, 2 * node), _nested(splits, leaf, 2 * node + 1)) if node in splits else float(leaf(node))
+
+
+def _apply(tree, x: np.ndarray) -> np.ndarray:
+    if isinstance(tree, float):
+        return np.full(len(x), tree)
+    j, c, low, high = tree
+    return np.where(x[:, j] <= c, _apply(low, x), _apply(high, x))
+
+
+def histogram(x: np.ndarray, y: np.ndarray, n: np.ndarray, model: Boosted, tree, level: list[int], cuts: list[np.ndarray]) -> np.ndarray:
+    """Gradients, weights and examples by node of `level`, feature and bin. Each is taken to a multiple of 1 / `FIXED`,
+    so that sums are exact whatever their order."""
+    p, at = model.score(x), _apply(tree, x)
+    values = [np.rint(v * FIXED) * n for v in (y - p, p * (1 - p))] + [n * float(FIXED)]
+    out = np.zeros((len(level), 3, len(cuts), BINS))
+    for j, points in enumerate(cuts):
+        code = np.searchsorted(points, x[:, j])
+        for i, node in enumerate(level):
+            rows = at == node
+            for k, v in enumerate(values):
+                out[i, k, j] = np.bincount(code[rows], v[rows], minlength=BINS)
+    return out / FIXED
+
+
+def _arrays(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, label, how often, whether loose) of folded examples."""
+    x, y, loose, n = (part.column(i) for i in range(4))
+    return np.array(x.to_pylist(), float).reshape(-1, len(FEATURES)), np.array(y.to_pylist(), float), np.array(n.to_pylist(), float), np.array(loose.to_pylist(), bool)
+
+
+def train(docs: DataFrame) -> tuple[Boosted, dict[str, float]]:
     """The trees and the threshold of each kind, from (doc_id, text)."""
-    n = docs.count()
-    some = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(sample / max(n, 1) * (1 << 30)))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows, good, loose, at = [], [], [], []
-        for text, h in zip(common.texts(part.column(0)), part.column(1).to_pylist(), strict=True):
-            for i, (x, y, z) in enumerate(examples(text)):
-                rows.append([float(v) for v in x])
-                good.append(y)
-                loose.append(z)
-                at.append(zlib.crc32(f"{h} {i}".encode()))
-        return common.batch_of({"x": (rows, pa.list_(pa.float64())), "y": (good, pa.int32()), "loose": (loose, pa.bool_()), "at": (at, pa.int64())})
-
-    found = common.map_rows(some, run, "x array<double>, y int, loose boolean, at long").orderBy("at", "x", "y", "loose").limit(8 * sample).toArrow()
-    x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
-    y = found.column("y").to_numpy().astype(float)
-    loose = np.array(found.column("loose").to_pylist(), bool)
-    model = Boosted(x, y)
+        found = Counter((tuple(map(float, x)), y, z) for text in common.texts(part.column(0)) for x, y, z in examples(text))
+        return common.batch_of({"x": ([list(x) for x, _, _ in found], pa.list_(pa.float64())), "y": ([y for _, y, _ in found], pa.int32()), "loose": ([z for _, _, z in found], pa.bool_()), "n": (list(found.values()), pa.int64())})
+
+    found = common.map_rows(docs.select("text"), run, "x array<double>, y int, loose boolean, n long")
+    found = common.cut(found.groupBy("x", "y", "loose").agg(F.sum("n").alias("n")))
+    kinds, good, total = found.agg(F.count(F.lit(1)), F.sum(F.col("y") * F.col("n")), F.sum("n")).first()
+    if not kinds:
+        return Boosted(0.5), {}
+    values = found.select(F.posexplode("x").alias("j", "value"), "n").groupBy("j", "value").agg(F.sum("n").alias("n")).orderBy("j", "value").toArrow()
+    j, value, often = (values.column(c).to_numpy() for c in ("j", "value", "n"))
+    cuts = []
+    for f in range(len(FEATURES)):  # quantiles, the lower value of two
+        up_to = np.cumsum(often[j == f])
+        cuts.append(np.unique(value[j == f][np.searchsorted(up_to, np.floor(np.linspace(0, 1, BINS + 1)[1:-1] * (total - 1)), "right")]))
+
+    if kinds <= GATHERED:
+        x, y, n, _ = _arrays(found.toArrow())
+        model = Boosted.fitted(lambda fn: fn(x, y, n), cuts, good / total)
+    else:
+
+        def sums(fn) -> np.ndarray:
+            def part_sums(batches):
+                for batch in batches:
+                    own = fn(*_arrays(batch)[:3])
+                    yield common.batch_of({"shape": ([list(own.shape)], pa.list_(pa.int32())), "v": ([own.tobytes()], pa.binary())})
+
+            rows = found.mapInArrow(part_sums, "shape array<int>, v binary").toLocalIterator()
+            return sum(np.frombuffer(r.v).reshape(r.shape) for r in rows)
+
+        model = Boosted.fitted(sums, cuts, good / total)
+
+    def scored(batches):
+        for batch in batches:
+            x, y, n, loose = _arrays(batch)
+            score = np.rint(model.score(x) * SCORES)
+            yield common.batch_of({"kind": (x[loose, 0].astype(np.int32), pa.int32()), "score": (score[loose].astype(np.int64), pa.int64()), "n": (n[loose].astype(np.int64), pa.int64()), "good": ((n * y)[loose].astype(np.int64), pa.int64())})
+
+    rows = found.mapInArrow(scored, "kind int, score long, n long, good long").groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("kind", F.desc("score")).toArrow()
+    own_kind, score, n, good = (rows.column(c).to_numpy() for c in ("kind", "score", "n", "good"))
     limits = {}
-    if len(y):
-        p = model.score(x)
-        for i, kind in enumerate(KINDS):
-            own = (x[:, 0] == i) & loose
-            order = np.argsort(-p[own], kind="stable")
-            if own.sum() >= 20:
-                share = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-                good = np.flatnonzero(share >= PRECISION)
-                if len(good):
-                    down = np.append(p[own][order], 0.0)
-                    limits[kind] = max(0.5, float(down[good[-1]] + down[good[-1] + 1]) / 2)
+    for i, kind in enumerate(KINDS):
+        own = own_kind == i
+        if n[own].sum() >= 20:
+            enough = np.flatnonzero(np.cumsum(good[own]) >= PRECISION * np.cumsum(n[own]))
+            if len(enough):
+                down = np.append(score[own], 0) / SCORES
+                limits[kind] = max(0.5, float(down[enough[-1]] + down[enough[-1] + 1]) / 2)
     return model, limits
 
 
