@@ -226,3 +226,18 @@ def test_shingle_hashes_do_not_depend_on_the_slice():
     a, _ = shingles.shingle_sets(pa.array(["q w e r t"]), 3)
     b, at = shingles.shingle_sets(pa.array(["zz yy", None, "Q w  e\tr T"]), 3)
     assert a.tolist() == b[at[2] : at[3]].tolist()
+
+
+def test_ties_take_both_kinds_of_signatures_from_one_list(spark):
+    # one signature that all sets share passes from one kind to the other: no list of one kind alone may grow by it
+    sizes = [10, 12, 15, 40, 50, 90]
+    sets = lambda hot: spark.createDataFrame([(i, n, [100 + i, *([] if hot else [7])], [7] if hot else []) for i, n in enumerate(sizes)], "key long, n long, cold array<long>, hot array<long>")
+    for hot in (False, True):
+        df = jaccard.ties(sets(hot), 80, 100)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        lists = [line for line in plan.split("\n") if "Generate " in line]
+        assert lists and all("cold" in line and "hot" in line for line in lists)
+        groups = {}
+        for r in components.connected(df.filter("u <> v")).collect():
+            groups.setdefault(r.component, set()).add(r.node)
+        assert sorted(map(sorted, groups.values())) == [[0, 1, 2], [3, 4]]

@@ -398,14 +398,17 @@ def ties(sets: DataFrame, num: int, den: int) -> DataFrame:
     sizes allow it (if a pair's sizes do, so do those of all neighbours between). A hot one: sizes
     are cut into bands within which every pair may link; all sets of a band are tied to its
     smallest key, and bands to the next one if their nearest sizes allow it. Only minima are
-    gathered there, and the join back can be split.
+    gathered there, and the join back can be split. As a table grows, signatures pass from the first kind to
+    the second at `HOT` sets; both are taken from one list, which has a bounded number a set and grows with the sets.
     """
     may = lambda small, large: F.col(small) * den >= F.col(large) * num
-    cold = sets.select("key", F.col("n").cast("int").alias("n"), F.explode("cold").alias("sig"))
+    of_cold = F.size("cold").alias("of_cold")
+    both = sets.select("key", "n", of_cold, F.posexplode(F.concat("cold", "hot")).alias("at", "sig"))
+    cold = both.filter("at < of_cold").select("key", F.col("n").cast("int").alias("n"), "sig")
     by_size = Window.partitionBy("sig").orderBy("n", "key")
     chained = cold.select("key", "n", F.lag("key").over(by_size).alias("before"), F.lag("n").over(by_size).alias("size")).filter("before is not null").filter(may("size", "n")).select(F.col("key").alias("u"), F.col("before").alias("v"))
     band = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9).cast("int")
-    hot = sets.select("key", "n", F.explode("hot").alias("sig")).withColumn("band", band)
+    hot = both.filter("at >= of_cold").select("key", "n", "sig", band.alias("band"))
     hubs = hot.groupBy("sig", "band").agg(F.min("key").alias("hub"), F.min("n").alias("low"), F.max("n").alias("high"))
     by_band = Window.partitionBy("sig").orderBy("band")
     steps = hubs.select("hub", "low", F.lag("hub").over(by_band).alias("before"), F.lag("high").over(by_band).alias("size")).filter("before is not null").filter(may("size", "low")).select(F.col("hub").alias("u"), F.col("before").alias("v"))
