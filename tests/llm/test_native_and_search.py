@@ -215,6 +215,47 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(51)) and all(got[i] == 100 for i in range(100, 160))
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """Rounds of jobs with all their tasks took the driver's memory; few edges are joined in the driver, with the same result."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    u, v = rng.integers(-500, 500, (2, 700))
+    long_edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(u, v, strict=True)], "u long, v long")
+    binary = long_edges.selectExpr("unhex(lpad(hex(u), 16, '0')) u", "unhex(lpad(hex(v), 16, '0')) v")
+    for edges in (long_edges, binary, long_edges.limit(0)):
+        got = {}
+        for most in (components.GATHERED, 0):
+            monkeypatch.setattr(components, "GATHERED", most)
+            group = f"components-{id(edges)}-{most}"
+            spark.sparkContext.setJobGroup(group, "")
+            found = components.connected(edges)
+            jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+            assert jobs < 12 or most == 0
+            assert found.schema.simpleString() == f"struct<node:{edges.dtypes[0][1]},component:{edges.dtypes[0][1]}>"
+            rows = [(r.node, r.component) for r in found.collect()]
+            got[most == 0] = dict(rows)
+            assert len(rows) == len(got[most == 0])
+        monkeypatch.undo()
+        assert got[True] == got[False]
+
+
+def test_a_cut_gives_back_native_memory(spark, monkeypatch):
+    """What the driver's JVM has freed outside its heap stayed with the process."""
+    from weftline.llm import common
+
+    done, trim = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda s: done.append(trim(s)))
+    assert common.cut(spark.range(5)).count() == 5 and done == [True]
+
+
+def test_lowest_of_long_chains():
+    import numpy as np
+
+    order = np.random.default_rng(1).permutation(20_000)
+    assert (components.lowest(order[:-1], order[1:], 20_000) == 0).all() and (components.lowest(np.arange(1, 3000), np.arange(2999), 3001) == np.r_[np.zeros(3000), 3000]).all()
+
+
 def test_hot_signatures_path(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 5)
     test_join_against_brute_force(spark, 3, 90)
