@@ -413,6 +413,22 @@ def test_quality_counts_characters(spark):
     assert (quality.votes(pa.array([text]))[0][[quality.LABELLERS.index("word_length"), quality.LABELLERS.index("short_words")]] == quality.NONE).all()
 
 
+def test_quality_is_fitted_to_all_documents(spark, monkeypatch):
+    """A document beyond the `PER_PATTERN` first of its pattern had no part in the scorer."""
+    monkeypatch.setattr(quality, "PER_PATTERN", 5)
+    rows = [(i, f"plain words of a text, and on it goes. {chr(0x4E00 + 67 * i)}") for i in range(60)] + [(100 + i, f"# $ % {i} ~ = # $ % ^ & * #") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = quality.fit(docs.repartition(3))
+    buckets = [set(quality._hashed(pa.array([t]))[0].tolist()) for _, t in rows]
+    for i, own in enumerate(buckets[:60]):
+        alone = own - set().union(*buckets[:i], *buckets[i + 1 :])
+        assert all(found.w[j] != 0 for j in alone)
+    again = quality.fit(docs.orderBy(docs.doc_id.desc()).coalesce(1))
+    assert (found.w == again.w).all() and found.b == again.b
+    good = found.columns(pa.array([t for _, t in rows]))[2] >= 0.3
+    assert good[:60].all() and not good[60:].any()
+
+
 def test_quality(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -8,8 +8,11 @@
    follows each pattern's posterior. That a labeller votes bad on at most `FALSE_ALARM` of the good
    documents is given. Without any vote the posterior is the prior.
 3. Scorer. A logistic regression on hashed byte trigrams (shares of `BUCKETS` buckets) is fitted to
-   the posteriors of a bounded sample of documents, drawn by hash: about `PER_PATTERN` of each vote
-   pattern and at most `SAMPLE` in all. It then scores every whole text.
+   the posteriors of all documents. The N documents of a vote pattern weigh sqrt(N min(N, `PER_PATTERN`))
+   together, so that a common pattern does not drown the others, and the classes alike. The features of every
+   document are written once, as their non-empty buckets and one byte each; each of `PASSES` evaluations
+   reads them and adds up whole numbers, so that the fit does not depend on the order of rows. It then
+   scores every whole text.
 
 A document is rejected if the scorer gives it less than `threshold`. Null and empty texts have no
 trigram: labellers abstain, the score is the posterior of that pattern, and they are kept only if
@@ -25,13 +28,15 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-BUCKETS, SAMPLE, PER_PATTERN = 1 << 12, 4000, 400
+BUCKETS, PER_PATTERN, PASSES = 1 << 12, 400, 20
 GOOD, BAD, NONE = 1, 0, 2
 NEVER = (1.0, 0.0)
 #: Trigrams added to the count of a text, of no bucket: a short text says little.
 DAMP = 300
 #: A labeller votes bad on at most this share of good documents: what makes it usable as one.
 FALSE_ALARM = 0.0002
+#: A byte c of a feature stands for c * c / LEVELS. Sums are of multiples of 1 / FIXED of it, those without a feature of 1 / FINE.
+LEVELS, FIXED, FINE, RIDGE = 255 * 255, 1 << 22, 1 << 30, 1e-6
 
 # classes of bytes; the continuation bytes of UTF-8 count as nothing, its lead bytes as a letter
 _LOWER, _UPPER, _DIGIT, _SPACE, _STOP, _ODD, _BANG, _PIPE = range(1, 9)
@@ -150,30 +155,72 @@ def _shares(bucket: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(bucket, minlength=BUCKETS) / (len(bucket) + DAMP))
 
 
-def features(column: pa.Array) -> np.ndarray:
+def packed(column: pa.Array) -> tuple[list[bytes], list[bytes]]:
+    """(non-empty buckets, in two bytes each; a byte for the share of each) of every text."""
     bucket, at = _hashed(column)
-    out = np.zeros((len(at) - 1, BUCKETS), np.float32)
-    for i in range(len(at) - 1):
-        if at[i + 1] > at[i]:
-            out[i] = _shares(bucket[at[i] : at[i + 1]])
-    return out
-
-
-def fit_scorer(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression on soft targets, by Adam over the full sample."""
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    weight, target = (weight / max(weight.sum(), 1e-9)).astype(np.float32), target.astype(np.float32)
-    for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        e = ((p - target) * weight).astype(np.float32)  # else x would be copied as double each time
-        g, gb = x.T @ e + 1e-6 * w, float(e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        step = 0.1 * (1 - 0.999**t) ** 0.5 / (1 - 0.9**t)
-        w -= (step * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
-        b -= step * mb / (vb**0.5 + 1e-8)
-    return w, b
+    where, codes = [], []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        share = _shares(bucket[a:b]) if b > a else np.zeros(0)
+        full = np.flatnonzero(share)
+        where.append(full.astype(np.uint16).tobytes())
+        codes.append(np.rint(255 * np.sqrt(share[full])).astype(np.uint8).tobytes())
+    return where, codes
+
+
+def evaluated(bucket: np.ndarray, code: np.ndarray, sizes: np.ndarray, weight: np.ndarray, target: np.ndarray, w: np.ndarray | None, b: float) -> np.ndarray:
+    """The gradient by bucket, that of the bias and the loss, of some rows and added up as whole numbers; without `w` the
+    moments of the features, of first and second order. Weights are 1 at most."""
+    x = code.astype(np.float64) ** 2
+    sums = lambda row, v: np.bincount(bucket, np.rint(np.repeat(row * FIXED, sizes) * v), minlength=BUCKETS).astype(np.int64)
+    if w is None:
+        return np.concatenate((sums(weight, x), sums(weight, x * x / LEVELS)))
+    scale = 2.0 ** np.floor(22 - np.log2(max(np.abs(w).max(), 1e-9)))  # whole numbers again
+    z, full = np.zeros(len(sizes)), sizes > 0
+    if full.any():
+        z[full] = np.add.reduceat(np.rint(w * scale)[bucket] * x, (np.cumsum(sizes) - sizes)[full])
+    z = np.clip(z / (scale * LEVELS) + b, -30, 30)
+    off = (1 / (1 + np.exp(-z)) - target) * weight
+    loss = (np.logaddexp(0, z) - target * z) * weight
+    return np.concatenate((sums(off, x), [np.rint(v * FINE).astype(np.int64).sum() for v in (off, loss)]))
+
+
+def fit_scorer(sums, total: float) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression on soft targets in `PASSES` evaluations, by limited-memory BFGS on centred features that
+    are scaled by the root of their deviation. `sums(w, b)` adds up `evaluated` over all rows, whose weights are `total`."""
+    first, second = sums(None, 0.0).astype(float).reshape(2, -1) / (total * FIXED * LEVELS)
+    scale = np.sqrt(np.sqrt(np.maximum(second - first**2, 0)) + 1e-3)
+
+    def plain(v: np.ndarray) -> tuple[np.ndarray, float]:
+        w = v[:-1] / scale
+        return w, float(v[-1] - w @ first)
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray]:
+        w, b = plain(v)
+        found = sums(w, b)
+        g, gb, loss = found[:-2].astype(float) / (total * FIXED * LEVELS), *(found[-2:].astype(float) / (total * FINE))
+        return loss + 0.5 * RIDGE * (w @ w), np.append((g + RIDGE * w - gb * first) / scale, gb)
+
+    v = np.zeros(BUCKETS + 1)
+    loss, g = at(v)
+    down, step, past = -10 * g / max(np.linalg.norm(g), 1e-12), 1.0, []
+    for _ in range(PASSES - 1):
+        new_loss, new_g = at(v + step * down)
+        if not new_loss <= loss + 1e-4 * step * (g @ down):
+            step *= 0.3
+            continue
+        s, y = step * down, new_g - g
+        v, loss, g, step = v + s, new_loss, new_g, 1.0
+        if s @ y > 1e-12:
+            past = [*past[-9:], (s, y)]
+        down, parts = -g, []
+        for s, y in reversed(past):
+            parts.append(s @ down / (s @ y))
+            down = down - parts[-1] * y
+        if past:
+            down = down * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]))
+        for (s, y), part in zip(past, reversed(parts), strict=True):
+            down = down + (part - y @ down / (s @ y)) * s
+    return plain(v)
 
 
 class Scorer:
@@ -199,10 +246,10 @@ def fit(docs: DataFrame) -> Scorer | None:
     base = 3 ** np.arange(len(LABELLERS))
 
     def vote(part: pa.RecordBatch) -> pa.RecordBatch:
-        code = votes(part.column(1)) @ base
-        return common.batch_of({"doc_id": (part.column(0), None), "pattern": (code, pa.int32())})
+        where, codes = packed(part.column(0))
+        return common.batch_of({"pattern": (votes(part.column(0)) @ base, pa.int32()), "bucket": (where, pa.binary()), "code": (codes, pa.binary())})
 
-    voted = common.cut(common.map_rows(docs, vote, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern int"))
+    voted = common.cut(common.map_rows(docs.select("text"), vote, "pattern int, bucket binary, code binary"))
     table = voted.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** 8 rows
     if not table:
         return None
@@ -211,33 +258,28 @@ def fit(docs: DataFrame) -> Scorer | None:
     posterior, _ = label_model((codes[:, None] // base) % 3, counts)
     by_code = np.full(3 ** len(LABELLERS), float((counts * posterior).sum() / counts.sum()))
     by_code[codes] = posterior
-    # a bounded training sample, spread over the patterns
-    rates = F.element_at(F.array(*[F.lit(float(x)) for x in np.minimum(PER_PATTERN / np.maximum(counts, 1), 1.0)]), F.array_position(F.array(*[F.lit(int(c)) for c in codes]), F.col("pattern")).cast("int"))
-    draw = F.pmod(F.xxhash64("doc_id", "pattern"), F.lit(1 << 30))
-    chosen = voted.distinct().filter(draw < rates * (1 << 30)).orderBy(draw, "doc_id", "pattern").limit(SAMPLE)
-
-    def gather(part: pa.RecordBatch) -> pa.RecordBatch:
-        x = features(part.column(2)).astype(np.float16)
-        return common.batch_of({"doc_id": (part.column(0), None), "pattern": (part.column(1), None), "x": ([r.tobytes() for r in x], pa.binary())})
-
-    sample = common.map_rows(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "pattern", "text"), gather, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern int, x binary")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toArrow()  # SAMPLE rows of 2 * BUCKETS bytes at most
-    code = sample.column("pattern").to_numpy()
-    x = np.zeros((sample.num_rows, BUCKETS), np.float32)
-    for row, own in zip(x, sample.column("x"), strict=True):
-        row[:] = np.frombuffer(own.as_buffer(), np.float16)
-    del sample
-    target = by_code[code]
-    share = np.bincount(code, minlength=len(by_code))
-    real = np.zeros(len(by_code))
-    real[codes] = counts
-    weight = np.sqrt(real[code] / np.maximum(share[code], 1))
-    for side in (target >= 0.5, target < 0.5):  # the classes weigh alike
-        weight[side] /= max(weight[side].sum(), 1e-9)
-    scorer = Scorer(by_code, *fit_scorer(x, target, weight))
-    del x
-    common.give_back()
-    return scorer
+    weight = np.zeros(len(by_code))
+    weight[codes] = np.sqrt(np.minimum(counts, PER_PATTERN) / counts)
+    for side in (by_code >= 0.5, by_code < 0.5):  # the classes weigh alike
+        weight[side] /= max((counts * weight[codes])[side[codes]].sum(), 1e-9)
+    weight /= weight.max()
+    few = voted.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)  # each task sends its sums to the driver, 32 KB
+
+    def sums(w: np.ndarray | None, b: float) -> np.ndarray:
+        def run(batches):
+            out = 0
+            for batch in batches:
+                for part in common.slices(batch, "bucket"):
+                    code, at = common.raw(part.column(2))
+                    own = part.column(0).to_numpy()
+                    out = out + evaluated(common.raw(part.column(1))[0].view(np.uint16), code, np.diff(at), weight[own], by_code[own], w, b)
+            if not np.isscalar(out):
+                yield common.batch_of({"sums": ([out.tobytes()], pa.binary())})
+
+        # beyond 64 bits, and exact
+        return sum(np.frombuffer(r["sums"], np.int64).astype(object) for r in few.mapInArrow(run, "sums binary").collect())
+
+    return Scorer(by_code, *fit_scorer(sums, float((counts * weight[codes]).sum())))
 
 
 def score_docs(docs: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
